@@ -1,0 +1,2 @@
+"""No streaming operators: the workload has no streaming source, window,
+watermark or state."""
