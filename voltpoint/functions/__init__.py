@@ -7,6 +7,7 @@ from voltpoint.functions.parse import (
     file_day,
     file_name_matches,
     fixed_decimals,
+    floor_div,
     parse_lines,
     split_spaces,
     station_count,
@@ -24,6 +25,7 @@ __all__ = [
     "file_day",
     "file_name_matches",
     "fixed_decimals",
+    "floor_div",
     "parse_lines",
     "split_spaces",
     "station_count",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from voltpoint.schema import (
     FILE_NAME_PATTERN,
     NANOS_PER_SECOND,
-    POINT_SCHEMA,
     SECONDS_PER_DAY,
 )
 
@@ -37,22 +36,16 @@ def file_day(path: Column) -> Column:
 
 
 def split_spaces(line: Column) -> Column:
-    """Trim, then split on runs of spaces.
+    """Trim, then split on runs of spaces; a line of spaces is one empty token.
 
-    ``split(s, ' +')`` compiles its pattern for every row. Runs of up to four
-    spaces are collapsed by plain replacement instead, longer ones by one
-    cached pattern, and the split itself is on a single character.
+    ``split(s, ' +')`` compiles its pattern for every row. Splitting on a single
+    character takes no pattern, and the empty texts it leaves between the
+    spaces of a run are removed.
     """
-    two, one = F.lit("  "), F.lit(" ")
-    text = F.trim(_strip_cr(line))
-    short = F.replace(F.replace(text, two, one), two, one)
-    collapsed = F.when(F.contains(short, two), F.regexp_replace(short, " +", " ")).otherwise(short)
-    return F.split(collapsed, " ")
-
-
-def _strip_cr(line: Column) -> Column:
     cut = F.substring(line, F.lit(1), F.length(line) - F.lit(1))
-    return F.when(F.endswith(line, F.lit("\r")), cut).otherwise(line)
+    text = F.when(F.endswith(line, F.lit("\r")), cut).otherwise(line)
+    tokens = F.array_remove(F.split(text, " "), "")
+    return F.when(F.trim(line).isin("", "\r"), F.array(F.lit(""))).otherwise(tokens)
 
 
 def token(tokens: Column, position: int) -> Column:
@@ -60,21 +53,21 @@ def token(tokens: Column, position: int) -> Column:
     return F.get(tokens, F.lit(position - 1))
 
 
-def _decimal_text(text: Column) -> Column:
+def _decimal_text(text: Column, doubtful: Column | None) -> Column:
     # Java number syntax also takes a type suffix ('3.5f') and hexadecimal
-    # floats ('0x1p3'); neither is a number here.
-    suffix = F.substring(text, -1, 1).isin("f", "F", "d", "D")
-    infinity = F.lower(text).isin("inf", "+inf", "-inf")
-    hexadecimal = F.contains(text, F.lit("x")) | F.contains(text, F.lit("X"))
-    return F.when(~((suffix & ~infinity) | hexadecimal), text)
+    # floats ('0x1p3'); neither is a number here, while 'inf' is one.
+    foreign = text.rlike("[xX]|[^nN][dDfF]$")
+    return F.when(~(foreign if doubtful is None else doubtful & foreign), text)
 
 
-def to_double(text: Column) -> Column:
-    return _decimal_text(text).try_cast("double")
+def to_double(text: Column, doubtful: Column | None = None) -> Column:
+    """DOUBLE, or NULL. Where ``doubtful`` is given and false the text is known
+    to have no foreign number syntax, and the test for it is not made."""
+    return _decimal_text(text, doubtful).try_cast("double")
 
 
-def to_float(text: Column) -> Column:
-    return _decimal_text(text).try_cast("float")
+def to_float(text: Column, doubtful: Column | None = None) -> Column:
+    return _decimal_text(text, doubtful).try_cast("float")
 
 
 def to_int(text: Column) -> Column:
@@ -97,18 +90,18 @@ def station_count(mask: Column) -> Column:
     return F.bit_count(bits).cast("tinyint")
 
 
-def alt_km(metres: Column) -> Column:
-    return (to_double(metres) / F.lit(1000.0)).cast("float")
+def alt_km(metres: Column, doubtful: Column | None = None) -> Column:
+    return (to_double(metres, doubtful) / F.lit(1000.0)).cast("float")
 
 
-def epoch_ns(seconds_of_day: Column, day: Column) -> Column:
+def epoch_ns(seconds_of_day: Column, day: Column, doubtful: Column | None = None) -> Column:
     """Seconds of day (text) + UTC day (DATE) -> nanoseconds since the epoch.
 
     The sum is a DOUBLE on purpose: the format's own precision is kept.
     """
     day_seconds = (F.unix_date(day).cast("bigint") * F.lit(SECONDS_PER_DAY)).cast("double")
-    nanos = (to_double(seconds_of_day) + day_seconds) * F.lit(float(NANOS_PER_SECOND))
-    return F.rint(nanos).try_cast("bigint")
+    seconds = to_double(seconds_of_day, doubtful) + day_seconds
+    return F.rint(seconds * F.lit(float(NANOS_PER_SECOND))).try_cast("bigint")
 
 
 def epoch_ns_of_timestamp(ts: Column) -> Column:
@@ -119,7 +112,12 @@ def epoch_ns_of_timestamp(ts: Column) -> Column:
 
 def timestamp_of_epoch_ns(ns: Column) -> Column:
     """Display timestamp, cut to microseconds."""
-    return F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("bigint"))
+    return F.timestamp_micros(floor_div(ns, 1000))
+
+
+def floor_div(value: Column, by: int) -> Column:
+    """Integer division rounding down, without a detour over DOUBLE."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
 def fixed_decimals(value: Column) -> Column:
@@ -130,14 +128,21 @@ def fixed_decimals(value: Column) -> Column:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``(file_day, line, ...)`` -> the point columns, other columns kept."""
     kept = [F.col(c) for c in lines.columns if c != "line"]
-    tokens = F.col("_tokens")
-    return lines.select(*kept, split_spaces(F.col("line")).alias("_tokens")).select(
-        *kept,
-        epoch_ns(token(tokens, 1), F.col("file_day")).alias("epoch_ns"),
-        to_double(token(tokens, 2)).cast("float").alias("lat"),
-        to_double(token(tokens, 3)).cast("float").alias("lon"),
-        alt_km(token(tokens, 4)).alias("alt"),
-        to_float(token(tokens, 5)).alias("chi"),
-        to_float(token(tokens, 6)).alias("pdb"),
-        station_count(token(tokens, 7)).alias("number_stations"),
-    ).select(*kept, *[F.col(f.name).cast(f.dataType) for f in POINT_SCHEMA])
+    tokens, doubtful = F.col("_tokens"), F.col("_doubtful")
+    # One test per line instead of one per number: on a complete line every
+    # number is followed by a space, the mask as a rule is not.
+    foreign = F.col("line").rlike("[dDfFxX][^ ]* ")
+    return (
+        lines.select(*kept, "line", split_spaces(F.col("line")).alias("_tokens"))
+        .select(*kept, "_tokens", ((F.size(tokens) < 7) | foreign).alias("_doubtful"))
+        .select(
+            *kept,
+            epoch_ns(token(tokens, 1), F.col("file_day"), doubtful).alias("epoch_ns"),
+            to_double(token(tokens, 2), doubtful).cast("float").alias("lat"),
+            to_double(token(tokens, 3), doubtful).cast("float").alias("lon"),
+            alt_km(token(tokens, 4), doubtful).alias("alt"),
+            to_float(token(tokens, 5), doubtful).alias("chi"),
+            to_float(token(tokens, 6), doubtful).alias("pdb"),
+            station_count(token(tokens, 7)).alias("number_stations"),
+        )
+    )

@@ -9,13 +9,15 @@ from voltpoint.operators.extents import EXTENT, attach_extent, finite, point_ext
 from voltpoint.schema import PANELS
 
 
-def _rel_ns() -> Column:
+def rel_ns() -> Column:
+    """Nanoseconds since the earliest point, of a frame with its extent attached."""
     return F.col("epoch_ns") - F.col(f"{EXTENT}.t_min_ns")
 
 
-def _color() -> Column:
+def color_value() -> Column:
+    """0 at the earliest point, 1 at the latest, of a frame with its extent attached."""
     # NULL, not infinity, when all points share one time.
-    return _rel_ns().cast("double") / F.nullif(F.col(f"{EXTENT}.span_ns"), F.lit(0)).cast("double")
+    return rel_ns().cast("double") / F.nullif(F.col(f"{EXTENT}.span_ns"), F.lit(0)).cast("double")
 
 
 def relative_time(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
@@ -23,18 +25,18 @@ def relative_time(points: DataFrame, extents: DataFrame | None = None) -> DataFr
     earliest point."""
     extents = point_extent(points) if extents is None else extents
     return attach_extent(points, extents).select(
-        *points.columns, _rel_ns().alias("rel_ns"), _rel_ns().cast("float").alias("t")
+        *points.columns, rel_ns().alias("rel_ns"), rel_ns().cast("float").alias("t")
     )
 
 
 def normalize_time(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     """Adds ``color``: 0 at the earliest point, 1 at the latest."""
     extents = point_extent(points) if extents is None else extents
-    return attach_extent(points, extents).select(*points.columns, _color().alias("color"))
+    return attach_extent(points, extents).select(*points.columns, color_value().alias("color"))
 
 
 def _axis(points: DataFrame, axis: str) -> Column:
-    return _rel_ns().cast("float") if axis == "time" else finite(points, axis)
+    return rel_ns().cast("float") if axis == "time" else finite(points, axis)
 
 
 def panel(points: DataFrame, name: str, extents: DataFrame | None = None) -> DataFrame:
@@ -43,7 +45,7 @@ def panel(points: DataFrame, name: str, extents: DataFrame | None = None) -> Dat
     x, y = PANELS[name]
     return (
         attach_extent(points, extents)
-        .select(_axis(points, x).alias("x"), _axis(points, y).alias("y"), _color().alias("color"))
+        .select(_axis(points, x).alias("x"), _axis(points, y).alias("y"), color_value().alias("color"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
 
@@ -57,6 +59,6 @@ def panels(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     ]
     return (
         attach_extent(points, extents)
-        .select(F.inline(F.array(*views)), _color().alias("color"))
+        .select(F.inline(F.array(*views)), color_value().alias("color"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltpoint.operators.extents import EXTENT, attach_extent, extent, finite, point_extent
+from voltpoint.operators.panels import color_value, rel_ns
 from voltpoint.schema import PANELS
 
 
@@ -47,26 +48,24 @@ def grid(
 
 def _axis_cell(points: DataFrame, axis: str, cells: int) -> Column:
     if axis == "time":
-        rel = F.col("epoch_ns") - F.col(f"{EXTENT}.t_min_ns")
-        return cell(rel, F.lit(0.0), F.col(f"{EXTENT}.span_ns"), cells)
+        return cell(rel_ns(), F.lit(0.0), F.col(f"{EXTENT}.span_ns"), cells)
     low, high = F.col(f"{EXTENT}.{axis}_min"), F.col(f"{EXTENT}.{axis}_max")
     return cell(finite(points, axis), low, high, cells)
 
 
 def _latest_wins(cells: DataFrame, keys: list[str]) -> DataFrame:
+    # The colour value grows with time, so its maximum is the latest point's.
     return (
         cells.where(F.col("px").isNotNull() & F.col("py").isNotNull())
         .groupBy(*keys)
-        .agg(F.max("epoch_ns").alias("last_ns"), F.count("*").alias("n"))
+        .agg(
+            F.max("epoch_ns").alias("last_ns"),
+            F.count("*").alias("n"),
+            F.max("color").alias("color"),
+        )
     )
 
 
-def _with_color(cells: DataFrame, extents: DataFrame) -> DataFrame:
-    rel = (F.col("last_ns") - F.col(f"{EXTENT}.t_min_ns")).cast("double")
-    span = F.nullif(F.col(f"{EXTENT}.span_ns"), F.lit(0)).cast("double")
-    return attach_extent(cells, extents).select(*cells.columns, (rel / span).alias("color"))
-
-
 def raster(
     points: DataFrame, panel: str, width: int, height: int, extents: DataFrame | None = None
 ) -> DataFrame:
@@ -76,9 +75,12 @@ def raster(
     extents = point_extent(points) if extents is None else extents
     x, y = PANELS[panel]
     cells = attach_extent(points, extents).select(
-        _axis_cell(points, x, width).alias("px"), _axis_cell(points, y, height).alias("py"), "epoch_ns"
+        _axis_cell(points, x, width).alias("px"),
+        _axis_cell(points, y, height).alias("py"),
+        "epoch_ns",
+        color_value().alias("color"),
     )
-    return _with_color(_latest_wins(cells, ["px", "py"]), extents)
+    return _latest_wins(cells, ["px", "py"])
 
 
 def rasters(points: DataFrame, width: int, height: int, extents: DataFrame | None = None) -> DataFrame:
@@ -92,8 +94,10 @@ def rasters(points: DataFrame, width: int, height: int, extents: DataFrame | Non
         )
         for name, (x, y) in PANELS.items()
     ]
-    cells = attach_extent(points, extents).select(F.inline(F.array(*views)), "epoch_ns")
-    return _with_color(_latest_wins(cells, ["panel", "px", "py"]), extents)
+    cells = attach_extent(points, extents).select(
+        F.inline(F.array(*views)), "epoch_ns", color_value().alias("color")
+    )
+    return _latest_wins(cells, ["panel", "px", "py"])
 
 
 def raster_frames(
@@ -107,9 +111,9 @@ def raster_frames(
         _axis_cell(points, x, width).alias("px"),
         _axis_cell(points, y, height).alias("py"),
         "epoch_ns",
+        color_value().alias("color"),
     )
-    cells = cells.where(F.col("frame").isNotNull())
-    return _with_color(_latest_wins(cells, ["frame", "px", "py"]), extents)
+    return _latest_wins(cells.where(F.col("frame").isNotNull()), ["frame", "px", "py"])
 
 
 def histogram(df: DataFrame, column: str, bins: int, extents: DataFrame | None = None) -> DataFrame:

@@ -55,22 +55,22 @@ def scan_lylout(spark, sf):
     return S.read_lines(spark, adapter.event_files(spark, sf)).select(_day(), "line")
 
 
-def skip_header(spark, sf):
-    lines = S.read_lines(spark, adapter.event_files(spark, sf))
+def _line_counts(lines: DataFrame) -> DataFrame:
     is_header = F.col("line").contains("header line")
     return lines.groupBy(_day()).agg(
         F.count("*").alias("lines"), F.count_if(is_header).alias("header_lines")
     )
 
 
+def skip_header(spark, sf):
+    return _line_counts(S.read_lines(spark, adapter.event_files(spark, sf)))
+
+
 def skip_header_streamed(spark, sf):
     """`skip_header` with every file read as a stream of lines."""
-    lines = S.read_lines(
-        spark, adapter.event_files(spark, sf), whole_file_bytes=-1, whole_gzip_bytes=-1
-    )
-    is_header = F.col("line").contains("header line")
-    return lines.groupBy(_day()).agg(
-        F.count("*").alias("lines"), F.count_if(is_header).alias("header_lines")
+    folders = adapter.event_files(spark, sf)
+    return _line_counts(
+        S.read_lines(spark, folders, whole_file_bytes=-1, whole_gzip_bytes=-1)
     )
 
 
@@ -209,7 +209,7 @@ def filter_points(spark, sf):
 def refilter(spark, sf):
     points = _points(spark, sf)
 
-    def count(label: str, thresholds: Thresholds) -> DataFrame:
+    def count(label: str, thresholds: Thresholds) -> Column:
         inside = O.range_condition(points.schema, thresholds.bounds())
         return F.count_if(inside).alias(label)
 
@@ -324,7 +324,7 @@ def dat_round_trip(spark, sf):
     S.write_dat(_selection(spark, sf), path)
     points = S.read_points(spark, path)
     # The text format resolves about a quarter of a microsecond.
-    micros = F.floor((F.col("epoch_ns") + F.lit(500)) / F.lit(1000)).cast("bigint")
+    micros = P.floor_div(F.col("epoch_ns") + F.lit(500), 1000)
     return points.select(micros.alias("epoch_us"), *[c for c in POINT_COLUMNS if c != "epoch_ns"])
 
 

@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltpoint.functions.parse import floor_div
 from voltpoint.schema import HEADER_LINES, NANOS_PER_SECOND, SECONDS_PER_DAY
 
 NANOS_PER_DAY = SECONDS_PER_DAY * NANOS_PER_SECOND
@@ -21,8 +22,7 @@ _NO_DAY = "000000"  # no valid date, so it reads back as NULL
 
 
 def _with_file_day(points: DataFrame) -> DataFrame:
-    days = F.expr(f"(epoch_ns - pmod(epoch_ns, {NANOS_PER_DAY})) div {NANOS_PER_DAY}")
-    day = F.date_from_unix_date(days.cast("int"))
+    day = F.date_from_unix_date(floor_div(F.col("epoch_ns"), NANOS_PER_DAY).cast("int"))
     if "file_day" in points.columns:
         day = F.coalesce(F.col("file_day"), day)
     return points.withColumn("file_day", day)

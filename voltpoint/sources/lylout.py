@@ -63,8 +63,12 @@ def _whole_file_lines(spark: SparkSession, paths: list[str], is_small, header_li
             F.split("value", "\n").alias("lines"),
         )
     )
+    # The outer form adds no test for an empty array, which would split twice.
     lines = files.select(
-        "file_path", "file_day", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line")
+        "file_path",
+        "file_day",
+        F.size("lines").alias("n"),
+        F.posexplode_outer("lines").alias("pos", "line"),
     )
     # The newline that ends the last line leaves one empty text behind it.
     is_rest = (F.col("pos") == F.col("n") - 1) & (F.col("line") == "")
