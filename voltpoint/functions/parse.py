@@ -18,12 +18,13 @@ from voltpoint.schema import (
 
 def file_name_matches(path: Column) -> Column:
     """Whether a path names an input file: ``<word>_<yymmdd>_<n>_<n>.dat[.gz]``."""
-    return path.rlike(f"^{FILE_NAME_PATTERN}$")
+    return path.rlike(FILE_NAME_PATTERN)
 
 
 def file_day(path: Column) -> Column:
     """DATE in the file name; NULL when the name or the date is not valid."""
-    digits = F.regexp_extract(path, f"^{FILE_NAME_PATTERN}$", 1)
+    # Below a matching name the day is the third part from the end.
+    digits = F.substring_index(F.substring_index(path, "_", -3), "_", 1)
     iso = F.concat(
         F.lit("20"),
         F.substring(digits, 1, 2),
@@ -32,7 +33,7 @@ def file_day(path: Column) -> Column:
         F.lit("-"),
         F.substring(digits, 5, 2),
     )
-    return F.when(F.length(digits) >= 6, iso.try_cast("date"))
+    return F.when(file_name_matches(path) & (F.length(digits) >= 6), iso.try_cast("date"))
 
 
 def split_spaces(line: Column) -> Column:

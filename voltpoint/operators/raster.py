@@ -86,17 +86,19 @@ def raster(
 def rasters(points: DataFrame, width: int, height: int, extents: DataFrame | None = None) -> DataFrame:
     """`raster` of all panels from a single pass, with a ``panel`` column."""
     extents = point_extent(points) if extents is None else extents
+    # Several panels share an axis, so each axis is cut into cells once.
+    columns = {f"px_{x}": (x, width) for x, _ in PANELS.values()}
+    columns |= {f"py_{y}": (y, height) for _, y in PANELS.values()}
+    cells = attach_extent(points, extents).select(
+        *[_axis_cell(points, axis, n).alias(name) for name, (axis, n) in columns.items()],
+        "epoch_ns",
+        color_value().alias("color"),
+    )
     views = [
-        F.struct(
-            F.lit(name).alias("panel"),
-            _axis_cell(points, x, width).alias("px"),
-            _axis_cell(points, y, height).alias("py"),
-        )
+        F.struct(F.lit(name).alias("panel"), F.col(f"px_{x}").alias("px"), F.col(f"py_{y}").alias("py"))
         for name, (x, y) in PANELS.items()
     ]
-    cells = attach_extent(points, extents).select(
-        F.inline(F.array(*views)), "epoch_ns", color_value().alias("color")
-    )
+    cells = cells.select(F.inline(F.array(*views)), "epoch_ns", "color")
     return _latest_wins(cells, ["panel", "px", "py"])
 
 

@@ -316,7 +316,7 @@ def point_colors(spark, sf):
 def parquet_round_trip(spark, sf):
     path = adapter.scratch_folder(spark)
     points = _selection(spark, sf).drop("event_id")
-    return S.stage(points, path, cluster_days=True).select(_day(), *POINT_COLUMNS)
+    return S.stage(points, path).select(_day(), *POINT_COLUMNS)
 
 
 def dat_round_trip(spark, sf):

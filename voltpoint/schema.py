@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 # --- fixed values: the input file format -----------------------------------
 HEADER_LINES = 53
-FILE_NAME_PATTERN = r".*\w+_(\d+)_\d+_\d+\.dat(\.gz)?"
+# To be found at the end of a path; the first number is the day, yymmdd.
+FILE_NAME_PATTERN = r"\w_(\d+)_\d+_\d+\.dat(\.gz)?$"
 # A superset of the pattern above that file listing can apply by itself.
 FILE_NAME_GLOB = "*_[0-9]*_[0-9]*_[0-9]*.{dat,dat.gz}"
 

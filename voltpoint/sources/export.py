@@ -33,14 +33,15 @@ def write_parquet(
     path: str,
     *,
     mode: str = "overwrite",
-    cluster_days: bool = False,
+    cluster_days: bool = True,
     rows_per_file: int = 0,
 ) -> None:
     """Parquet, one folder per day.
 
-    Points fresh from the text files are already grouped by day, so nothing is
-    shuffled by default. ``cluster_days`` is for input in no such order: it
-    lets adaptive execution merge small days and split large ones.
+    A task of a text scan holds files of many days and would write a small file
+    for each, so adaptive execution first brings a day's rows together, merging
+    small days and splitting large ones by size. Leave ``cluster_days`` out for
+    rows that are in day order already: nothing is shuffled then.
     """
     points = _with_file_day(points)
     if cluster_days:

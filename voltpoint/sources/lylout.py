@@ -91,7 +91,7 @@ def _header_dropper(header_lines: int, name_pattern: str):
         name = re.compile(name_pattern, re.ASCII)
 
         def day_of(path):
-            match = name.fullmatch(path)
+            match = name.search(path)
             if match is None:
                 return False, None
             d = match.group(1)
