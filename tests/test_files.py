@@ -142,6 +142,17 @@ def test_small_files_stay_in_the_jvm(spark, folder):
     assert text.count("split(value") == 1
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 20])
+def test_no_file_is_opened_by_both_scans(spark, folder, limit):
+    from voltpoint.sources import lylout
+
+    small = lylout._size_is_small(limit, limit)
+    whole = lylout._whole_file_lines(spark, [folder], small, HEADER_LINES)
+    streamed = lylout._streamed_lines(spark, [folder], small, HEADER_LINES)
+    idle, busy = (whole, streamed) if limit < 0 else (streamed, whole)
+    assert idle.rdd.getNumPartitions() == 0 and busy.rdd.getNumPartitions() > 0
+
+
 def test_generated_code_is_small_enough_to_compile(spark, folder):
     # The JVM does not compile methods of more than 8000 bytes.
     debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")

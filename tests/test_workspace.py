@@ -51,8 +51,9 @@ def test_a_load_replaces_the_last(spark, sf_dir):
     assert ws._kept is None
 
 
-def test_report_of_loaded_files(spark, sf_dir):
+@pytest.mark.parametrize("staged", [False, True])
+def test_report_of_loaded_files(spark, sf_dir, tmp_path, staged):
     ws = Workspace(spark)
-    ws.load(adapter.event_files(spark, sf_dir))
+    ws.load(adapter.event_files(spark, sf_dir), stage_to=str(tmp_path / "s") if staged else None)
     assert ws.load_report().groupBy().sum("rows").first()[0] == 1000
     ws.clear()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.schema import POINT_SCHEMA
 from voltpoint.sources.export import write_parquet
 
 POINT_VIEW = "lma"
@@ -32,10 +31,7 @@ def stage(points: DataFrame, path: str, **options) -> DataFrame:
 
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    known = {f.name: f for f in POINT_SCHEMA}
-    columns = [f.name for f in schema if f.name in known or f.name == "file_day"]
-    return spark.read.parquet(path).select(*columns)
+    return spark.read.parquet(path)
 
 
 def clear(spark: SparkSession, *kept: DataFrame, view: str = POINT_VIEW) -> None:
