@@ -29,11 +29,12 @@ from voltpoint.schema import (
     POINT_COLUMNS,
 )
 
-# Largest file that becomes one row. Gzip gets a smaller bound as this text
-# inflates three- to sixfold; a file that inflates past what a row can hold
-# fails the task, it is never cut.
-WHOLE_FILE_BYTES = 64 << 20
-WHOLE_GZIP_BYTES = 8 << 20
+# Largest file that becomes one row: a task needs about eight times as much
+# memory while the row is split. Gzip gets a smaller bound as this text inflates
+# three- to sixfold; a file that inflates past what a task can hold fails it, it
+# is never cut.
+WHOLE_FILE_BYTES = 32 << 20
+WHOLE_GZIP_BYTES = 4 << 20
 
 Paths = str | Iterable[str]
 
