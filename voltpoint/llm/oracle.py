@@ -29,4 +29,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
 """
 
-ORACLE = {"op9_benchmark": OP9}
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS i
+  FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0e0 WHEN 1 THEN 1.0e0 ELSE 2.0e0 END AS w,
+             CASE i % 3 WHEN 0 THEN -0.5e0 WHEN 1 THEN 0.0e0 ELSE 0.5e0 END AS slope, source_size * 2 AS cap FROM s),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 - CAST(coalesce(sum(cap) OVER r, 0) AS DOUBLE))
+                / (sum(w) OVER () - coalesce(sum(w) OVER r, 0.0e0)) AS level
+      FROM w WINDOW r AS (ORDER BY CAST(cap AS DOUBLE) / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, slope, least(CAST(cap AS DOUBLE), w * max(level) OVER ()) AS target FROM l),
+p AS (SELECT doc_id, size, source_size, slope, target,
+             CAST(2 * coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS BIGINT) AS middle
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size = 0 THEN 0 WHEN middle + source_size * 2 <= target * 2 THEN 2 WHEN middle <= target * 2 THEN 1 ELSE 0 END AS copies,
+             least(1.0e0, CAST(middle AS DOUBLE) / (target * 2)) AS due FROM p)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+       CASE WHEN copies > 0 THEN 2 * due / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * due)) END AS first_position
+FROM c
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(md5(text), '')), 1, 11))::BIGINT AS h
+  FROM documents),
+n AS (
+  SELECT r, depth, h >> (44 - depth) AS prefix,
+         sum(n_bytes) OVER b AS bytes, count(*) OVER b AS n
+  FROM (SELECT r, h, n_bytes, CAST(unnest(range(0, 45)) AS INTEGER) AS depth FROM d)
+  WINDOW b AS (PARTITION BY depth, h >> (44 - depth))),
+s AS (SELECT r, min(depth) AS depth, arg_min(prefix, depth) AS prefix, arg_min(bytes, depth) AS bytes
+      FROM n WHERE bytes <= 1048576 OR n = 1 OR depth = 44 GROUP BY r)
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
+       CAST(bytes AS BIGINT) AS shard_bytes, bytes > 1048576 AS oversized
+FROM d JOIN s USING (r)
+"""
+
+ORACLE = {"op3_mixing": OP3, "op4_sharding": OP4, "op9_benchmark": OP9}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate
+from voltpoint.llm import decontaminate, mixing, sharding, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -18,7 +19,23 @@ def op9_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op9_benchmark]
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+#: Bytes of text in a shard; so small that tables of every size are split.
+SHARD_BYTES = 1 << 20
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op3_mixing, op4_sharding, op5_tokens, op9_benchmark]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
