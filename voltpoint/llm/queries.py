@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, mixing, sharding, tokens
+from voltpoint.llm import decontaminate, language, mixing, sharding, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -19,6 +19,10 @@ def op9_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op3_mixing, op4_sharding, op5_tokens, op9_benchmark]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op9_benchmark]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
