@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, language, mixing, sharding, tokens
+from voltpoint.llm import decontaminate, language, mixing, neardup, sharding, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -39,7 +39,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op9_benchmark]
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op9_benchmark, op10_near_duplicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
