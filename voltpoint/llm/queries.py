@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, language, mixing, neardup, sharding, tokens
+from voltpoint.llm import decontaminate, language, mixing, neardup, sharding, substrings, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +47,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op9_benchmark, op10_near_duplicates]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op8_substrings, op9_benchmark, op10_near_duplicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

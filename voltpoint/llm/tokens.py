@@ -85,14 +85,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema
         if not batch.num_rows:
             continue
         ids: dict = {}
-        which, times, sizes, extra = [], [], [], []
+        which, times, extra = [], [], []
         for value in batch.column("text").to_pylist():
             opening, after, found = _segments(value or "", special)
             held = Counter(after)
             mine = [ids.setdefault(s, len(ids)) for s in held] + [ids.setdefault((s,), len(ids)) for s in opening]
-            which.append(np.array(mine, np.int64))
-            times.append(np.fromiter(itertools.chain(held.values(), itertools.repeat(1, len(opening))), np.int64, len(mine)))
-            sizes.append(len(mine))
+            which.append(np.array(mine, np.int32))
+            times.append(np.fromiter(itertools.chain(held.values(), itertools.repeat(1, len(opening))), np.int32, len(mine)))
             extra.append(found)
         names_of: dict[str, int] = {}
         flat, count = [], []
@@ -100,30 +99,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema
             got = _pre_tokens(segment[0] if type(segment) is tuple else " " + segment, official)
             flat += [names_of.setdefault(t, len(names_of)) for t in got]
             count.append(len(got))
-        # From segments to pre-tokens, and one entry per document and pre-token.
-        which, times = np.concatenate(which), np.concatenate(times)
         flat, count = np.array(flat, np.int64), np.array(count, np.int64)
-        start, each = (np.cumsum(count) - count)[which], count[which]
-        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start, each)
-        doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), each)
-        width = max(1, len(names_of))
-        pairs, back = np.unique(doc * width + flat[at], return_inverse=True)
-        freq = np.bincount(back, np.repeat(times, each), minlength=len(pairs)).astype(np.int64)
-        doc, token = pairs // width, pairs % width
+        begin = np.cumsum(count) - count
         single = np.fromiter((t in one_piece for t in names_of), bool, len(names_of))
-        known = np.bincount(doc, np.where(single[token], freq, 0) if len(pairs) else None, minlength=len(sizes)).astype(np.int64)
         rare = np.cumsum(~single) - 1
-        doc, token, freq = doc[~single[token]], rare[token[~single[token]]], freq[~single[token]]
-        edges = np.searchsorted(doc, np.arange(len(sizes) + 1))
-        packed = []
-        for a, b in itertools.pairwise(edges):
-            planes = np.concatenate([np.diff(token[a:b], prepend=0), freq[a:b]]).astype(np.uint32)
+        known, packed = extra, []
+        for row, (mine, often) in enumerate(zip(which, times)):
+            # From the document's segments to its pre-tokens, each one once.
+            each = count[mine]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[mine], each)
+            token, back = np.unique(flat[at], return_inverse=True)
+            freq = np.bincount(back, np.repeat(often, each), minlength=len(token)).astype(np.int64)
+            one = single[token]
+            known[row] += int(freq[one].sum())
+            planes = np.concatenate([np.diff(rare[token[~one]], prepend=0), freq[~one]]).astype(np.uint32)
             packed.append(pack.compress(planes.view(np.uint8).reshape(-1, 4).T.tobytes()))
-        vocab = [None] * len(sizes)
+        vocab = [None] * batch.num_rows
         vocab[0] = [t for t, one in zip(names_of, single) if not one]
         made = {
-            "block": [(task << 32) + number] * len(sizes),
-            "known": known + np.array(extra, np.int64),
+            "block": [(task << 32) + number] * batch.num_rows,
+            "known": known,
             "rare": packed,
             "vocab": vocab,
         }
