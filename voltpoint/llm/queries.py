@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, language, mixing, neardup, quality, sharding, substrings, tokens
+from voltpoint.llm import decontaminate, language, mixing, neardup, quality, secrets, sharding, substrings, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -19,6 +19,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op8_substrings, op9_benchmark, op10_near_duplicates]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op7_secrets, op8_substrings, op9_benchmark, op10_near_duplicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
