@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, language, mixing, neardup, quality, secrets, sharding, substrings, tokens
+from voltpoint.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, sharding, substrings, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -31,6 +31,10 @@ def op9_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op7_secrets, op8_substrings, op9_benchmark, op10_near_duplicates]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_licenses, op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op7_secrets, op8_substrings, op9_benchmark, op10_near_duplicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
