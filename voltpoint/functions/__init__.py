@@ -2,6 +2,7 @@
 
 from voltpoint.functions.parse import (
     alt_km,
+    difference,
     epoch_ns,
     epoch_ns_of_timestamp,
     file_day,
@@ -20,6 +21,7 @@ from voltpoint.functions.parse import (
 
 __all__ = [
     "alt_km",
+    "difference",
     "epoch_ns",
     "epoch_ns_of_timestamp",
     "file_day",

@@ -33,7 +33,8 @@ def file_day(path: Column) -> Column:
         F.lit("-"),
         F.substring(digits, 5, 2),
     )
-    return F.when(file_name_matches(path) & (F.length(digits) >= 6), iso.try_cast("date"))
+    # Five digits leave one for the day; fewer leave none.
+    return F.when(file_name_matches(path) & (F.length(digits) >= 5), iso.try_cast("date"))
 
 
 def split_spaces(line: Column) -> Column:
@@ -106,9 +107,19 @@ def epoch_ns(seconds_of_day: Column, day: Column, doubtful: Column | None = None
 
 
 def epoch_ns_of_timestamp(ts: Column) -> Column:
-    """Nanoseconds of a timestamp column; the session time zone must be UTC
-    when the column has no time zone."""
-    return F.unix_micros(ts.cast("timestamp")) * F.lit(1000)
+    """Nanoseconds of a timestamp without time zone that holds UTC; the session
+    time zone has no part in it."""
+    day = F.unix_date(ts.cast("date")).cast("bigint") * F.lit(SECONDS_PER_DAY)
+    minutes = (F.hour(ts) * F.lit(60) + F.minute(ts)).cast("bigint")
+    micros = (F.extract(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("bigint")
+    return ((day + minutes * F.lit(60)) * F.lit(1_000_000) + micros) * F.lit(1000)
+
+
+def difference(high: Column, low: Column) -> Column:
+    """DOUBLE difference of two BIGINTs: exact before it is rounded, or of the
+    rounded numbers where the exact one is beyond 64 bits."""
+    exact = F.try_subtract(high, low).cast("double")
+    return F.coalesce(exact, high.cast("double") - low.cast("double"))
 
 
 def timestamp_of_epoch_ns(ns: Column) -> Column:
@@ -117,13 +128,20 @@ def timestamp_of_epoch_ns(ns: Column) -> Column:
 
 
 def floor_div(value: Column, by: int) -> Column:
-    """Integer division rounding down, without a detour over DOUBLE."""
-    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+    """Integer division rounding down, over the whole range of BIGINT."""
+    below = F.when(value % F.lit(by) < 0, 1).otherwise(0)
+    return F.call_function("div", value, F.lit(by)) - below
 
 
 def fixed_decimals(value: Column) -> Column:
-    """Text with six decimals, ties to even as C's ``%f`` rounds them."""
-    return F.bround(value.cast("double").cast("decimal(38,12)"), 6).cast("string")
+    """Text with six decimals, ties to even as C's ``%f`` rounds them; the sign
+    of a small negative value stays. From 1e15 on, where a DOUBLE has no sixth
+    decimal, digits after the 17th are zeros."""
+    number = value.cast("double")
+    small = F.abs(number) < F.lit(1e15)
+    text = F.bround(F.when(small, number).cast("decimal(38,12)"), 6).cast("string")
+    signed = F.when((number < 0) & ~text.startswith("-"), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(small, signed).otherwise(F.format_string("%.6f", number))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from voltpoint.operators.extents import (
     axis_ticks_3,
     axis_ticks_5,
     extent,
+    extent_fields,
     extent_per_row,
     finite,
     panel_extent,
     point_extent,
 )
 from voltpoint.operators.filters import filter_points, project_points, range_condition, range_filter
-from voltpoint.operators.palette import PALETTE_NAMES, apply_palette, named_palette
+from voltpoint.operators.palette import apply_palette
 from voltpoint.operators.panels import normalize_time, panel, panels, relative_time
 from voltpoint.operators.raster import (
     alt_histogram,
@@ -25,7 +26,6 @@ from voltpoint.operators.raster import (
 )
 
 __all__ = [
-    "PALETTE_NAMES",
     "alt_histogram",
     "apply_palette",
     "attach_extent",
@@ -34,12 +34,12 @@ __all__ = [
     "axis_ticks_5",
     "cell",
     "extent",
+    "extent_fields",
     "extent_per_row",
     "filter_points",
     "finite",
     "grid",
     "histogram",
-    "named_palette",
     "normalize_time",
     "panel",
     "panel_extent",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltpoint.functions.parse import fixed_decimals
+from voltpoint.functions.parse import difference, fixed_decimals
 from voltpoint.schema import EXTENT_PANELS, TICK_FIRST, TICKS_3, TICKS_5
 
 EXTENT = "_extent"
@@ -39,13 +39,15 @@ def extent(df: DataFrame, columns: list[str], *, count: str = "row_count") -> Da
 
 
 def point_extent(points: DataFrame) -> DataFrame:
-    """One row ``(source_count, t_min_ns, t_max_ns, span_ns, lon_min, ...)``."""
+    """One row ``(source_count, t_min_ns, t_max_ns, span_ns, lon_min, ...)``.
+
+    ``span_ns`` is NULL where it is beyond 64 bits."""
     raw = extent(points, ["epoch_ns", "lon", "lat", "alt"], count="source_count")
     return raw.select(
         "source_count",
         F.col("epoch_ns_min").alias("t_min_ns"),
         F.col("epoch_ns_max").alias("t_max_ns"),
-        (F.col("epoch_ns_max") - F.col("epoch_ns_min")).alias("span_ns"),
+        F.try_subtract("epoch_ns_max", "epoch_ns_min").alias("span_ns"),
         "lon_min",
         "lon_max",
         "lat_min",
@@ -55,17 +57,24 @@ def point_extent(points: DataFrame) -> DataFrame:
     )
 
 
-def attach_extent(df: DataFrame, extents: DataFrame) -> DataFrame:
-    """Every row of ``df`` with the one row of ``extents`` as a struct."""
-    row = extents.select(F.struct(*extents.columns)).scalar()
+def attach_extent(df: DataFrame, extents: DataFrame, fields: list[str]) -> DataFrame:
+    """Every row of ``df`` with the named fields of the one row of ``extents`` as
+    a struct; the others are not worked out, nor their columns read."""
+    row = extents.select(F.struct(*fields)).scalar()
     return df.select("*", row.alias(EXTENT))
 
 
+def extent_fields(*axes: str) -> list[str]:
+    """The fields of `point_extent` that these axes need; "time" needs both ends."""
+    names = {"time": ["t_min_ns", "t_max_ns"]}
+    return [f for axis in dict.fromkeys(axes) for f in names.get(axis, [f"{axis}_min", f"{axis}_max"])]
+
+
 def extent_per_row(points: DataFrame) -> DataFrame:
     """Relative time and coordinates of each point beside the global bounds."""
-    bounds = ["t_min_ns", "t_max_ns", "lon_min", "lon_max", "lat_min", "lat_max", "alt_min", "alt_max"]
-    return attach_extent(points, point_extent(points)).select(
-        (F.col("epoch_ns") - F.col(f"{EXTENT}.t_min_ns")).cast("float").alias("t"),
+    bounds = extent_fields("time", "lon", "lat", "alt")
+    return attach_extent(points, point_extent(points), bounds).select(
+        difference(F.col("epoch_ns"), F.col(f"{EXTENT}.t_min_ns")).cast("float").alias("t"),
         "lon",
         "lat",
         "alt",
@@ -78,7 +87,8 @@ def _axis_bounds(axis: str | None) -> tuple[Column, Column]:
     if axis is None:
         return F.lit(None).cast("float"), F.lit(None).cast("float")
     if axis == "time":
-        return F.when(F.col("span_ns").isNotNull(), F.lit(0.0)).cast("float"), F.col("span_ns").cast("float")
+        span = difference(F.col("t_max_ns"), F.col("t_min_ns"))
+        return F.when(span.isNotNull(), F.lit(0.0)).cast("float"), span.cast("float")
     return F.col(f"{axis}_min"), F.col(f"{axis}_max")
 
 

@@ -7,24 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The palettes a viewer offers, in order.
-PALETTE_NAMES = ("Viridis", "Plasma", "Inferno", "Magma", "Cividis")
-
 RGB = tuple[float, float, float]
 
 
-def named_palette(name: str) -> list[RGB]:
-    """The 256 entries of a named palette, taken from matplotlib when that is
-    installed; otherwise pass a palette of your own to `apply_palette`."""
-    if name not in PALETTE_NAMES:
-        raise ValueError(f"unknown palette {name!r}; known: {', '.join(PALETTE_NAMES)}")
-    try:
-        from matplotlib import colormaps
-    except ImportError as missing:
-        raise ImportError("named palettes need matplotlib; pass a list of RGB triples") from missing
-    return [tuple(entry) for entry in colormaps[name.lower()].colors]
-
-
 def _channel(position: Column, entries: Sequence[float]) -> Column:
     table = F.array(*[F.lit(float(e)) for e in entries])
     last = F.lit(len(entries) - 1)

@@ -5,38 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltpoint.operators.extents import EXTENT, attach_extent, finite, point_extent
+from voltpoint.functions.parse import difference
+from voltpoint.operators.extents import EXTENT, attach_extent, extent_fields, finite, point_extent
 from voltpoint.schema import PANELS
 
 
 def rel_ns() -> Column:
-    """Nanoseconds since the earliest point, of a frame with its extent attached."""
-    return F.col("epoch_ns") - F.col(f"{EXTENT}.t_min_ns")
+    """Nanoseconds since the earliest point, of a frame with its extent attached;
+    NULL where they are beyond 64 bits."""
+    return F.try_subtract(F.col("epoch_ns"), F.col(f"{EXTENT}.t_min_ns"))
+
+
+def elapsed() -> Column:
+    """The same as DOUBLE, which has no such limit."""
+    return difference(F.col("epoch_ns"), F.col(f"{EXTENT}.t_min_ns"))
+
+
+def span() -> Column:
+    """DOUBLE nanoseconds from the earliest point to the latest."""
+    return difference(F.col(f"{EXTENT}.t_max_ns"), F.col(f"{EXTENT}.t_min_ns"))
 
 
 def color_value() -> Column:
     """0 at the earliest point, 1 at the latest, of a frame with its extent attached."""
     # NULL, not infinity, when all points share one time.
-    return rel_ns().cast("double") / F.nullif(F.col(f"{EXTENT}.span_ns"), F.lit(0)).cast("double")
+    return elapsed() / F.nullif(span(), F.lit(0.0))
 
 
 def relative_time(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     """Adds exact ``rel_ns`` and single-precision ``t``, both counted from the
     earliest point."""
     extents = point_extent(points) if extents is None else extents
-    return attach_extent(points, extents).select(
-        *points.columns, rel_ns().alias("rel_ns"), rel_ns().cast("float").alias("t")
+    return attach_extent(points, extents, ["t_min_ns"]).select(
+        *points.columns, rel_ns().alias("rel_ns"), elapsed().cast("float").alias("t")
     )
 
 
 def normalize_time(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     """Adds ``color``: 0 at the earliest point, 1 at the latest."""
     extents = point_extent(points) if extents is None else extents
-    return attach_extent(points, extents).select(*points.columns, color_value().alias("color"))
+    attached = attach_extent(points, extents, extent_fields("time"))
+    return attached.select(*points.columns, color_value().alias("color"))
 
 
 def _axis(points: DataFrame, axis: str) -> Column:
-    return rel_ns().cast("float") if axis == "time" else finite(points, axis)
+    return elapsed().cast("float") if axis == "time" else finite(points, axis)
 
 
 def panel(points: DataFrame, name: str, extents: DataFrame | None = None) -> DataFrame:
@@ -44,7 +57,7 @@ def panel(points: DataFrame, name: str, extents: DataFrame | None = None) -> Dat
     extents = point_extent(points) if extents is None else extents
     x, y = PANELS[name]
     return (
-        attach_extent(points, extents)
+        attach_extent(points, extents, extent_fields("time"))
         .select(_axis(points, x).alias("x"), _axis(points, y).alias("y"), color_value().alias("color"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
@@ -58,7 +71,7 @@ def panels(points: DataFrame, extents: DataFrame | None = None) -> DataFrame:
         for name, (x, y) in PANELS.items()
     ]
     return (
-        attach_extent(points, extents)
+        attach_extent(points, extents, extent_fields("time"))
         .select(F.inline(F.array(*views)), color_value().alias("color"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )

@@ -14,20 +14,21 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltpoint.operators.extents import EXTENT, attach_extent, extent, finite, point_extent
-from voltpoint.operators.panels import color_value, rel_ns
+from voltpoint.operators.extents import EXTENT, attach_extent, extent, extent_fields, finite, point_extent
+from voltpoint.operators.panels import color_value, elapsed, span
 from voltpoint.schema import PANELS
 
 
 def cell(value: Column, low: Column, high: Column, cells: int) -> Column:
     """Index of ``value`` in ``cells`` equal parts of [low, high].
 
-    The upper edge belongs to the last cell; a range of no width has one cell."""
-    low, high = low.cast("double"), high.cast("double")
-    place = F.floor((value.cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * cells)
+    The upper edge belongs to the last cell; a range of no width has one cell;
+    a value outside the range has none."""
+    value, low, high = value.cast("double"), low.cast("double"), high.cast("double")
+    place = F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * cells)
     # least() skips NULLs, so the NULL of an empty range is replaced before it.
     index = F.least(F.lit(cells - 1).cast("bigint"), F.coalesce(place, F.lit(0).cast("bigint")))
-    return F.when(value.isNotNull(), index)
+    return F.when(value.between(low, high), index)
 
 
 def _pack(indices: list[tuple[Column, int]]) -> Column:
@@ -50,6 +51,11 @@ def _bounds(name: str) -> tuple[Column, Column]:
     return F.col(f"{EXTENT}.{name}_min"), F.col(f"{EXTENT}.{name}_max")
 
 
+def _inside(cells: DataFrame, name: str, given: bool) -> DataFrame:
+    # Nothing lies outside the rows' own extent, so that test is saved.
+    return cells.where(F.col(name).isNotNull()) if given else cells
+
+
 def _with_values(df: DataFrame, columns: list[str]) -> DataFrame:
     # Tested on the columns, not on the cell, which would be worked out twice.
     return df.where(reduce(and_, [finite(df, name).isNotNull() for name in columns]))
@@ -59,13 +65,15 @@ def grid(
     df: DataFrame, x: str, y: str, width: int, height: int, *, latest: str, extents: DataFrame | None = None
 ) -> DataFrame:
     """``(px, py, last, n)`` of any frame with two numeric columns: the number
-    of rows in a cell and the greatest value of the ``latest`` column."""
-    extents = extent(df, [x, y]) if extents is None else extents
+    of rows in a cell and the greatest value of the ``latest`` column. Rows
+    outside a given extent are left out."""
+    given, extents = extents is not None, extent(df, [x, y]) if extents is None else extents
     px = cell(finite(df, x), *_bounds(x), width)
     py = cell(finite(df, y), *_bounds(y), height)
+    cells = attach_extent(_with_values(df, [x, y]), extents, [f"{c}_{side}" for c in (x, y) for side in ("min", "max")])
+    cells = cells.select(_pack([(px, width), (py, height)]).alias("cell"), F.col(latest).alias("latest"))
     return (
-        attach_extent(_with_values(df, [x, y]), extents)
-        .select(_pack([(px, width), (py, height)]).alias("cell"), F.col(latest).alias("latest"))
+        _inside(cells, "cell", given)
         .groupBy("cell")
         .agg(F.max("latest").alias("last"), F.count("*").alias("n"))
         .select(*_unpack(F.col("cell"), {"px": width, "py": height}), "last", "n")
@@ -74,7 +82,7 @@ def grid(
 
 def _axis_cell(points: DataFrame, axis: str, cells: int) -> Column:
     if axis == "time":
-        return cell(rel_ns(), F.lit(0.0), F.col(f"{EXTENT}.span_ns"), cells)
+        return cell(elapsed(), F.lit(0.0), span(), cells)
     return cell(finite(points, axis), *_bounds(axis), cells)
 
 
@@ -95,7 +103,8 @@ def _latest_wins(cells: DataFrame, sizes: dict[str, int]) -> DataFrame:
 
 def _axis_cells(points: DataFrame, extents: DataFrame, axes: dict[str, tuple[str, int]]) -> DataFrame:
     """Column name -> (axis, cells), beside time and colour value."""
-    return attach_extent(points, extents).select(
+    fields = extent_fields("time", *[axis for axis, _ in axes.values()])
+    return attach_extent(points, extents, fields).select(
         *[_axis_cell(points, axis, n).alias(name) for name, (axis, n) in axes.items()],
         "epoch_ns",
         color_value().alias("color"),
@@ -105,12 +114,12 @@ def _axis_cells(points: DataFrame, extents: DataFrame, axes: dict[str, tuple[str
 def _one_panel(
     points: DataFrame, extents: DataFrame | None, axes: dict[str, tuple[str, int]]
 ) -> DataFrame:
-    extents = point_extent(points) if extents is None else extents
+    given, extents = extents is not None, point_extent(points) if extents is None else extents
     columns = ["epoch_ns" if axis == "time" else axis for axis, _ in axes.values()]
     key = _pack([(F.col(name), n) for name, (_, n) in axes.items()])
     cells = _axis_cells(_with_values(points, columns), extents, axes)
     sizes = {name: n for name, (_, n) in axes.items()}
-    return _latest_wins(cells.select(key.alias("cell"), "epoch_ns", "color"), sizes)
+    return _latest_wins(_inside(cells.select(key.alias("cell"), "epoch_ns", "color"), "cell", given), sizes)
 
 
 def raster(
@@ -118,7 +127,8 @@ def raster(
 ) -> DataFrame:
     """``(px, py, last_ns, n, color)`` per non-empty cell of one panel.
 
-    The latest point colours the cell; y grows upward."""
+    The latest point colours the cell; y grows upward. Points outside a given
+    extent are left out."""
     x, y = PANELS[panel]
     return _one_panel(points, extents, {"px": (x, width), "py": (y, height)})
 
@@ -152,15 +162,17 @@ def raster_frames(
 
 
 def histogram(df: DataFrame, column: str, bins: int, extents: DataFrame | None = None) -> DataFrame:
-    """``(bin, n)`` per non-empty bin of equal width between minimum and maximum."""
-    extents = extent(df, [column]) if extents is None else extents
+    """``(bin, n)`` per non-empty bin of equal width between minimum and maximum;
+    values outside a given extent are left out."""
+    given, extents = extents is not None, extent(df, [column]) if extents is None else extents
+    cells = attach_extent(_with_values(df, [column]), extents, [f"{column}_min", f"{column}_max"])
+    cells = cells.select(cell(finite(df, column), *_bounds(column), bins).cast("int").alias("bin"))
     return (
-        attach_extent(_with_values(df, [column]), extents)
-        .select(cell(finite(df, column), *_bounds(column), bins).cast("int").alias("bin"))
+        _inside(cells, "bin", given)
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
 
 
-def alt_histogram(points: DataFrame, bins: int = 20) -> DataFrame:
-    return histogram(points, "alt", bins)
+def alt_histogram(points: DataFrame, bins: int = 20, extents: DataFrame | None = None) -> DataFrame:
+    return histogram(points, "alt", bins, extents)

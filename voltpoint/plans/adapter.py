@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltpoint.functions.parse import epoch_ns_of_timestamp
 from voltpoint.sources.export import write_dat_lines
+from voltpoint.sources.scratch import scratch_folder
 
 # Fixed values of the derivation: a multiplicative hash gives the station mask.
 MASK_FACTOR = 2654435761
@@ -40,6 +37,21 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`event_points`, some with times as far apart as BIGINT allows, some with a
+    latitude of 1e30 or a tiny negative one."""
+    number = F.col("event_id")
+    time = F.when(number % 251 == 0, F.lit(-8_300_000_000_000_000_000)).when(
+        number % 241 == 0, F.lit(8_300_000_000_000_000_000)
+    )
+    lat = F.when(number % 239 == 0, F.lit(1e30)).when(number % 233 == 0, F.lit(-1e-7))
+    return (
+        event_points(spark, sf_dir)
+        .withColumn("epoch_ns", F.coalesce(time, F.col("epoch_ns")))
+        .withColumn("lat", F.coalesce(lat.cast("float"), F.col("lat")))
+    )
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, file_day, line)``: every event as one text line, some of
     them dirty (no text, missing tokens, an unreadable altitude)."""
@@ -48,7 +60,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "value",
         F.col("ts").cast("date").alias("file_day"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.call_function("div", epoch_ns_of_timestamp(F.col("ts")), F.lit(1000)).alias("us"),
         _mask().alias("mask"),
     )
     chi = F.col("user_id") % 61
@@ -97,27 +109,28 @@ def event_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", path.alias("path"))
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name in the shared folder the cluster names; only where it
-    names none (tests on one machine), in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return os.path.join(tempfile.mkdtemp(prefix="voltpoint-"), "work")
-    return f"{shared.rstrip('/')}/voltpoint-{uuid.uuid4().hex}"
-
-
 _files: dict[tuple[str, str], str] = {}
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Folders of text files holding `event_lines`, written once per
-    application: even days plain, odd days gzipped."""
+def _event_folder(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
         folder = scratch_folder(spark)
         lines = event_lines(spark, sf_dir).select("file_day", "line")
         odd = F.dayofmonth("file_day") % 2 == 1
-        write_dat_lines(lines.where(~odd), f"{folder}/plain")
-        write_dat_lines(lines.where(odd), f"{folder}/gzip", gzip=True)
+        write_dat_lines(lines.where(~odd), f"{folder}/2024/plain")
+        write_dat_lines(lines.where(odd), f"{folder}/2024/gz ip", gzip=True)
         _files[key] = folder
-    return [f"{_files[key]}/plain", f"{_files[key]}/gzip"]
+    return _files[key]
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Folders of text files holding `event_lines`, written once per
+    application: even days plain, odd days gzipped, below a name with a blank."""
+    folder = _event_folder(spark, sf_dir)
+    return [f"{folder}/2024/plain", f"{folder}/2024/gz ip"]
+
+
+def event_root(spark: SparkSession, sf_dir: str) -> str:
+    """The folder above all of them."""
+    return _event_folder(spark, sf_dir)

@@ -11,6 +11,7 @@ from dataclasses import asdict
 from voltpoint.plans import queries as Q
 from voltpoint.schema import PANELS, POINT_COLUMNS, Thresholds
 
+# Fixed value: the file name pattern of the format.
 NAME = r".*\w+_(\d+)_\d+_\d+\.dat(\.gz)?"
 POINT_LIST = ", ".join(POINT_COLUMNS)
 
@@ -187,12 +188,37 @@ def _channel(i: int) -> str:
     return f"{entry(0)} + ({entry(1)} - {entry(0)}) * (pos - floor(pos))"
 
 
+def _far(high: str, low: str) -> str:
+    """The difference as DOUBLE, of exact or else of rounded numbers."""
+    exact = f"CAST(TRY_CAST(CAST({high} AS HUGEINT) - {low} AS BIGINT) AS DOUBLE)"
+    return f"coalesce({exact}, CAST({high} AS DOUBLE) - CAST({low} AS DOUBLE))"
+
+
+def _dirty_extent() -> str:
+    return f"""{POINTS},
+dirty AS (
+  SELECT * REPLACE (
+    CASE WHEN event_id % 251 = 0 THEN -8300000000000000000 WHEN event_id % 241 = 0 THEN 8300000000000000000
+         ELSE epoch_ns END AS epoch_ns,
+    CASE WHEN event_id % 239 = 0 THEN CAST(1e30 AS FLOAT) WHEN event_id % 233 = 0 THEN CAST(-1e-7 AS FLOAT)
+         ELSE lat END AS lat)
+  FROM pts),
+sel AS (SELECT * FROM dirty WHERE {_inside(Thresholds())}),
+ext AS (
+  SELECT count(*) AS source_count, min(epoch_ns) AS t_min_ns, max(epoch_ns) AS t_max_ns,
+         CAST(max(epoch_ns) AS HUGEINT) - min(epoch_ns) AS wide,
+         min(lon) AS lon_min, max(lon) AS lon_max, min(lat) AS lat_min, max(lat) AS lat_max,
+         min(alt) AS alt_min, max(alt) AS alt_max
+  FROM sel)"""
+
+
 def oracle_sql() -> dict[str, str]:
     t = Thresholds()
     sql: dict[str, str] = {}
 
     # files
     sql["scan_lylout"] = _with(LINES, "SELECT file_day, line FROM lines")
+    sql["scan_lylout_streamed"] = sql["scan_nested"] = sql["scan_lylout"]
     sql["skip_header"] = _with(
         LINES,
         "SELECT file_day, count(*) AS lines, "
@@ -214,10 +240,11 @@ def oracle_sql() -> dict[str, str]:
         PARSED, "SELECT file_day, count(*) AS rows FROM parsed GROUP BY file_day"
     )
     sql["parse_lylout"] = _with(PARSED, f"SELECT file_day, {POINT_LIST} FROM parsed")
-    sql["union_days"] = sql["parse_lylout"]
+    sql["union_days"] = sql["parse_lylout_streamed"] = sql["parse_lylout"]
+    sql["clear_table"] = _with(POINTS, "SELECT count(*) AS rows, false AS exists_after FROM pts")
     sql["load_report"] = _with(
         PARSED,
-        "SELECT file_day, count(*) AS rows, count(*) - count(epoch_ns) AS null_times, "
+        "SELECT true AS matched, file_day, count(*) AS rows, count(*) - count(epoch_ns) AS null_times, "
         "count(*) - count(alt) AS null_alts, count(*) - count(number_stations) AS null_stations "
         "FROM parsed GROUP BY file_day",
     )
@@ -275,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'strict', count(*) FROM pts WHERE {_inside(Q.STRICT)} "
         f"UNION ALL SELECT 'wide', count(*) FROM pts WHERE {wide}",
     )
+    sql["refilter_kept"] = sql["refilter"]
     sql["project_points"] = _with(SELECTION, "SELECT epoch_ns, lon, lat, alt FROM sel")
     sql["range_filter_lineitem"] = (
         "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE "
@@ -368,6 +396,57 @@ def oracle_sql() -> dict[str, str]:
         + " FROM colored",
     )
 
+    # dirty values and windows
+    dirty = _dirty_extent()
+    sql["dirty_extent"] = _with(
+        dirty,
+        "SELECT source_count, t_min_ns, t_max_ns, TRY_CAST(wide AS BIGINT) AS span_ns, lon_min, lon_max, "
+        "lat_min, lat_max, alt_min, alt_max FROM ext",
+    )
+    sql["dirty_relative_time"] = _with(
+        dirty,
+        "SELECT event_id, TRY_CAST(CAST(epoch_ns AS HUGEINT) - t_min_ns AS BIGINT) AS rel_ns, "
+        f"CAST({_far('epoch_ns', 't_min_ns')} AS FLOAT) AS t FROM sel CROSS JOIN ext",
+    )
+    ticks = sql["axis_ticks_5"]
+    ticks = f"WITH {dirty.strip()},\n" + ticks[ticks.index("axes AS (") :]
+    ticks = ticks.replace("CAST(span_ns AS FLOAT)", f"CAST({_far('t_max_ns', 't_min_ns')} AS FLOAT)")
+    sql["dirty_ticks"] = ticks.replace(
+        "SELECT *, printf", "SELECT *, CASE WHEN abs(value) < 1e15 THEN printf"
+    ).replace(" AS label FROM ticks", " END AS label FROM ticks")
+    color = f"{_far('epoch_ns', 't_min_ns')} / nullif({_far('t_max_ns', 't_min_ns')}, 0e0)"
+    t_axis = {"time": f"CAST({_far('epoch_ns', 't_min_ns')} AS FLOAT)"}
+    sql["dirty_panels"] = _with(
+        dirty,
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS panel, {t_axis.get(x, x)} AS x, {t_axis.get(y, y)} AS y, {color} AS color "
+            "FROM sel CROSS JOIN ext"
+            for n, (x, y) in PANELS.items()
+        ),
+    )
+
+    def dirty_cell(axis: str, cells: int) -> str:
+        if axis == "time":
+            return _cell(_far("epoch_ns", "t_min_ns"), "0", _far("t_max_ns", "t_min_ns"), cells)
+        return _axis_cell(axis, cells)
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS panel, {dirty_cell(x, Q.RASTER['width'])} AS px, "
+        f"{dirty_cell(y, Q.RASTER['height'])} AS py, epoch_ns FROM sel CROSS JOIN ext"
+        for n, (x, y) in PANELS.items()
+    )
+    sql["dirty_rasters"] = _with(
+        f"{dirty},\ncells AS ({rows}),\nagg AS (SELECT panel, px, py, max(epoch_ns) AS last_ns, count(*) AS n "
+        "FROM cells GROUP BY panel, px, py)",
+        f"SELECT panel, px, py, last_ns, n, {color.replace('epoch_ns', 'last_ns')} AS color FROM agg CROSS JOIN ext",
+    )
+    sql["dirty_parquet"] = _with(dirty, f"SELECT {POINT_LIST} FROM sel")
+    w = Q.WINDOW
+    inside = f"lon BETWEEN {w['lon_min']}e0 AND {w['lon_max']}e0 AND lat BETWEEN {w['lat_min']}e0 AND {w['lat_max']}e0"
+    px = _cell("lon", f"{w['lon_min']}e0", f"{w['lon_max']}e0", Q.RASTER["width"])
+    py = _cell("lat", f"{w['lat_min']}e0", f"{w['lat_max']}e0", Q.RASTER["height"])
+    sql["raster_window"] = _raster(f"SELECT {px} AS px, {py} AS py, epoch_ns FROM sel WHERE {inside}", "px, py")
+
     # export
     sql["parquet_round_trip"] = _with(SELECTION, f"SELECT file_day, {POINT_LIST} FROM sel")
     sql["dat_round_trip"] = _with(

@@ -32,10 +32,6 @@ LINEITEM_BOUNDS = {
 }
 
 
-def _utc(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def _day(column: str = "file_day") -> Column:
     return F.date_format(column, "yyyy-MM-dd").alias("file_day")
 
@@ -55,6 +51,21 @@ def scan_lylout(spark, sf):
     return S.read_lines(spark, adapter.event_files(spark, sf)).select(_day(), "line")
 
 
+STREAMED = {"whole_file_bytes": -1, "whole_gzip_bytes": -1}
+
+
+def scan_lylout_streamed(spark, sf):
+    """`scan_lylout` with every file read as a stream of lines."""
+    return S.read_lines(spark, adapter.event_files(spark, sf), **STREAMED).select(_day(), "line")
+
+
+def scan_nested(spark, sf):
+    """The folder above all files, given with one of the folders inside it."""
+    root = adapter.event_root(spark, sf)
+    paths = [f"{root}/2024/plain", root]
+    return S.read_lines(spark, paths).select(_day(), "line")
+
+
 def _line_counts(lines: DataFrame) -> DataFrame:
     is_header = F.col("line").contains("header line")
     return lines.groupBy(_day()).agg(
@@ -69,9 +80,7 @@ def skip_header(spark, sf):
 def skip_header_streamed(spark, sf):
     """`skip_header` with every file read as a stream of lines."""
     folders = adapter.event_files(spark, sf)
-    return _line_counts(
-        S.read_lines(spark, folders, whole_file_bytes=-1, whole_gzip_bytes=-1)
-    )
+    return _line_counts(S.read_lines(spark, folders, **STREAMED))
 
 
 def file_filter(spark, sf):
@@ -99,17 +108,14 @@ def union_days(spark, sf):
 
 
 def load_report(spark, sf):
+    """One row per file, files of other names included."""
     folders = adapter.event_files(spark, sf)
     report = S.load_report(S.read_points(spark, folders), S.list_files(spark, folders))
-    return (
-        report.where("matched")
-        .groupBy(_day())
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum("null_epoch_ns").alias("null_times"),
-            F.sum("null_alt").alias("null_alts"),
-            F.sum("null_number_stations").alias("null_stations"),
-        )
+    return report.groupBy("matched", _day()).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("null_epoch_ns").alias("null_times"),
+        F.sum("null_alt").alias("null_alts"),
+        F.sum("null_number_stations").alias("null_stations"),
     )
 
 
@@ -118,6 +124,19 @@ def parse_lylout(spark, sf):
     return points.select(_day(), *POINT_COLUMNS)
 
 
+def parse_lylout_streamed(spark, sf):
+    points = S.read_points(spark, adapter.event_files(spark, sf), **STREAMED)
+    return points.select(_day(), *POINT_COLUMNS)
+
+
+def clear_table(spark, sf):
+    """Rows of the table before it is cleared, and whether it is there after."""
+    view = "voltpoint_clear_table"
+    rows = O.extent(S.replace_load(_points(spark, sf), view), [], count="rows")
+    S.clear(spark, view=view)
+    return rows.withColumn("exists_after", F.lit(spark.catalog.tableExists(view)))
+
+
 def replace_load(spark, sf):
     view = "voltpoint_replace_load"
     points = _points(spark, sf)
@@ -221,6 +240,21 @@ def refilter(spark, sf):
     )
 
 
+def refilter_kept(spark, sf):
+    """One kept table, filtered anew for each set of thresholds and released."""
+    kept = S.keep(_points(spark, sf))
+    wide = Thresholds(min_stations=0, max_alt=1e4, max_chi=1e4, min_power=-1e4, max_power=1e4)
+    counts = None
+    for label, thresholds in {"default": Thresholds(), "strict": STRICT, "wide": wide}.items():
+        found = O.filter_points(kept, thresholds).agg(F.count("*").alias("n"))
+        found = found.select(F.lit(label).alias("thresholds"), "n")
+        counts = found if counts is None else counts.unionByName(found)
+    path = S.scratch_folder(spark)
+    counts.write.parquet(path)
+    S.clear(spark, kept)
+    return spark.read.parquet(path)
+
+
 def refilter_strict(spark, sf):
     return O.filter_points(_points(spark, sf), STRICT)
 
@@ -310,17 +344,61 @@ def point_colors(spark, sf):
     return O.apply_palette(colored, PALETTE).select("event_id", "red", "green", "blue")
 
 
+# --- dirty values and windows -------------------------------------------------
+
+
+def _dirty(spark: SparkSession, sf: str) -> DataFrame:
+    return O.filter_points(adapter.dirty_points(spark, sf))
+
+
+def dirty_extent(spark, sf):
+    return O.point_extent(_dirty(spark, sf))
+
+
+def dirty_relative_time(spark, sf):
+    return O.relative_time(_dirty(spark, sf)).select("event_id", "rel_ns", "t")
+
+
+def dirty_ticks(spark, sf):
+    ticks = O.axis_ticks_5(O.point_extent(_dirty(spark, sf)))
+    # Labels of values without a sixth decimal have no counterpart in SQL.
+    return ticks.withColumn("label", F.when(F.abs("value") < 1e15, F.col("label")))
+
+
+def dirty_panels(spark, sf):
+    return O.panels(_dirty(spark, sf))
+
+
+def dirty_rasters(spark, sf):
+    return O.rasters(_dirty(spark, sf), **RASTER)
+
+
+def dirty_parquet(spark, sf):
+    path = S.scratch_folder(spark)
+    return S.stage(_dirty(spark, sf).drop("event_id"), path).select(*POINT_COLUMNS)
+
+
+# A part of the map, narrower than the data.
+WINDOW = {"lon_min": -101.75, "lon_max": -101.25, "lat_min": 33.25, "lat_max": 33.5}
+
+
+def raster_window(spark, sf):
+    points = _selection(spark, sf)
+    fixed = [F.lit(v).cast("float").alias(name) for name, v in WINDOW.items()]
+    return O.raster(points, "lon_lat", **RASTER, extents=O.point_extent(points).select("t_min_ns", "t_max_ns", *fixed))
+
+
 # --- export ----------------------------------------------------------------
 
 
 def parquet_round_trip(spark, sf):
-    path = adapter.scratch_folder(spark)
+    path = S.scratch_folder(spark)
     points = _selection(spark, sf).drop("event_id")
     return S.stage(points, path).select(_day(), *POINT_COLUMNS)
 
 
 def dat_round_trip(spark, sf):
-    path = adapter.scratch_folder(spark)
+    path = S.scratch_folder(spark)
     S.write_dat(_selection(spark, sf), path)
     points = S.read_points(spark, path)
     # The text format resolves about a quarter of a microsecond.
@@ -330,6 +408,8 @@ def dat_round_trip(spark, sf):
 
 _QUERIES: dict[str, Query] = {
     "scan_lylout": scan_lylout,
+    "scan_lylout_streamed": scan_lylout_streamed,
+    "scan_nested": scan_nested,
     "skip_header": skip_header,
     "skip_header_streamed": skip_header_streamed,
     "file_filter": file_filter,
@@ -339,6 +419,8 @@ _QUERIES: dict[str, Query] = {
     "load_report": load_report,
     "replace_load": replace_load,
     "parse_lylout": parse_lylout,
+    "parse_lylout_streamed": parse_lylout_streamed,
+    "clear_table": clear_table,
     "tokenize": tokenize,
     "array_get": array_get,
     "try_cast_double": try_cast_double,
@@ -356,6 +438,7 @@ _QUERIES: dict[str, Query] = {
     "filter_power": _one_bound("pdb"),
     "filter_points": filter_points,
     "refilter": refilter,
+    "refilter_kept": refilter_kept,
     "refilter_strict": refilter_strict,
     "project_points": project_points,
     "range_filter_lineitem": range_filter_lineitem,
@@ -380,26 +463,24 @@ _QUERIES: dict[str, Query] = {
     "alt_histogram": alt_histogram,
     "grid_lineitem": grid_lineitem,
     "point_colors": point_colors,
+    "raster_window": raster_window,
+    "dirty_extent": dirty_extent,
+    "dirty_relative_time": dirty_relative_time,
+    "dirty_ticks": dirty_ticks,
+    "dirty_panels": dirty_panels,
+    "dirty_rasters": dirty_rasters,
+    "dirty_parquet": dirty_parquet,
     "parquet_round_trip": parquet_round_trip,
     "dat_round_trip": dat_round_trip,
 }
 
 
-def _in_utc(query: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _utc(spark)
-        return query(spark, sf_dir)
-
-    return run
-
-
 def queries() -> dict[str, Query]:
-    return {name: _in_utc(query) for name, query in _QUERIES.items()}
+    return dict(_QUERIES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection with relative time and colour value: what every view shows."""
-    _utc(spark)
     points = _selection(spark, sf_dir)
     extents = O.point_extent(points)
     return O.normalize_time(O.relative_time(points, extents), extents)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voltpoint import operators, sources
 from voltpoint.schema import PANELS, Thresholds
+from voltpoint.sources.tables import POINT_VIEW
 
 
 class Workspace:
@@ -17,18 +18,28 @@ class Workspace:
     rasters, ticks and extents are small by their nature, points are not.
     """
 
-    def __init__(self, spark: SparkSession, thresholds: Thresholds | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, thresholds: Thresholds | None = None, *, view: str = POINT_VIEW
+    ) -> None:
+        """``view`` names the table; give each of several workspaces its own."""
         self.spark = spark
         self.thresholds = thresholds or Thresholds()
+        self.view = view
         self._points: DataFrame | None = None
         self._kept: DataFrame | None = None
+        self._paths: sources.lylout.Paths | None = None
+        self._extents: DataFrame | None = None
 
     def load(self, paths: sources.lylout.Paths, *, stage_to: str | None = None) -> DataFrame:
         """Replace the table by the points of these files.
 
-        The points are cached for re-filtering, or written as Parquet to
-        ``stage_to`` when they are more than the cluster should cache."""
-        return self.use(sources.read_points(self.spark, paths), stage_to=stage_to)
+        The points are cached for re-filtering: in memory and on the executors'
+        own disks, where a lost executor's part is parsed anew. More points than
+        the cluster should cache belong in ``stage_to``, as Parquet."""
+        paths = paths if isinstance(paths, str) else list(paths)
+        points = self.use(sources.read_points(self.spark, paths), stage_to=stage_to)
+        self._paths = paths
+        return points
 
     def use(self, points: DataFrame, *, stage_to: str | None = None) -> DataFrame:
         """Replace the table by ``points``."""
@@ -37,17 +48,18 @@ class Workspace:
             points = sources.stage(points, stage_to)
         else:
             points = self._kept = sources.keep(points)
-        self._points = sources.replace_load(points)
+        self._points = sources.replace_load(points, self.view)
         return self._points
 
     def clear(self) -> None:
         """Drop the table and release its cache."""
-        sources.clear(self.spark, *([self._kept] if self._kept is not None else []))
-        self._points = self._kept = None
+        sources.clear(self.spark, *([self._kept] if self._kept is not None else []), view=self.view)
+        self._points = self._kept = self._paths = self._extents = None
 
     def set_thresholds(self, **changes: float) -> DataFrame:
         """Change some thresholds and return the new selection."""
         self.thresholds = replace(self.thresholds, **changes)
+        self._extents = None
         return self.selection()
 
     def points(self) -> DataFrame:
@@ -59,11 +71,18 @@ class Workspace:
         return operators.filter_points(self.points(), self.thresholds)
 
     def load_report(self) -> DataFrame:
-        return sources.load_report(self.points())
+        """Rows per file; after `load` with the skipped and empty files, too."""
+        if self._paths is None:
+            return sources.load_report(self.points())
+        return sources.load_report(self.points(), sources.list_files(self.spark, self._paths))
 
     def extent(self) -> DataFrame:
-        """One row with the number of selected points and their bounds."""
-        return operators.point_extent(self.selection())
+        """One row with the number of selected points and their bounds, worked
+        out once for each selection and then a constant of every view."""
+        if self._extents is None:
+            found = operators.point_extent(self.selection())
+            self._extents = self.spark.createDataFrame(found.collect(), found.schema)
+        return self._extents
 
     def panel_extent(self) -> DataFrame:
         return operators.panel_extent(self.extent())
@@ -73,30 +92,28 @@ class Workspace:
         return operators.axis_ticks_5(extents).unionByName(operators.axis_ticks_3(extents))
 
     def panel(self, name: str) -> DataFrame:
-        return operators.panel(self.selection(), name)
+        return operators.panel(self.selection(), name, extents=self.extent())
 
     def panels(self) -> DataFrame:
-        return operators.panels(self.selection())
+        return operators.panels(self.selection(), extents=self.extent())
 
     def raster(self, name: str, width: int, height: int, palette=None) -> DataFrame:
-        """Cells of one panel, coloured when a palette (or its name) is given."""
+        """Cells of one panel, coloured when a palette (RGB triples) is given."""
         if name not in PANELS:
             raise ValueError(f"unknown panel {name!r}; known: {', '.join(PANELS)}")
-        cells = operators.raster(self.selection(), name, width, height)
+        cells = operators.raster(self.selection(), name, width, height, extents=self.extent())
         if palette is None:
             return cells
-        if isinstance(palette, str):
-            palette = operators.named_palette(palette)
         return operators.apply_palette(cells, palette)
 
     def rasters(self, width: int, height: int) -> DataFrame:
-        return operators.rasters(self.selection(), width, height)
+        return operators.rasters(self.selection(), width, height, extents=self.extent())
 
     def frames(self, name: str, width: int, height: int, frames: int) -> DataFrame:
-        return operators.raster_frames(self.selection(), name, width, height, frames)
+        return operators.raster_frames(self.selection(), name, width, height, frames, extents=self.extent())
 
     def alt_histogram(self, bins: int = 20) -> DataFrame:
-        return operators.alt_histogram(self.selection(), bins)
+        return operators.alt_histogram(self.selection(), bins, extents=self.extent())
 
     def export_parquet(self, path: str, **options) -> None:
         sources.write_parquet(self.selection(), path, **options)

@@ -40,6 +40,7 @@ POINT_SCHEMA = T.StructType(
 POINT_COLUMNS = POINT_SCHEMA.fieldNames()
 
 
+# --- fixed values: the default selection ------------------------------------
 @dataclass(frozen=True)
 class Thresholds:
     """The seven selection thresholds; every bound is inclusive."""
@@ -69,6 +70,7 @@ class Thresholds:
         }
 
 
+# --- fixed values: panels and ticks -----------------------------------------
 # Panel -> (x axis, y axis).
 PANELS = {
     "time_alt": ("time", "alt"),

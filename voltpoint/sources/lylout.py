@@ -10,6 +10,11 @@ takes its own files at listing time, so no file is opened twice:
   and a gzipped one is streamed. The header is dropped by a helper that keeps
   one line counter per task and passes all later Arrow batches through as they
   are; it holds one batch at a time whatever the file size.
+
+Names, days and bytes are treated by the same expressions in both scans: bytes
+that are not UTF-8 become U+FFFD. Folders are read with all folders below them.
+Spark's own listing hides files and folders whose name begins with ``_`` or
+``.``.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from pyspark.sql import functions as F
 from voltpoint.functions.parse import file_day, file_name_matches, parse_lines
 from voltpoint.schema import (
     FILE_NAME_GLOB,
-    FILE_NAME_PATTERN,
     HEADER_LINES,
     LINE_SCHEMA,
     POINT_COLUMNS,
@@ -40,9 +44,15 @@ Paths = str | Iterable[str]
 
 
 def _path_list(paths: Paths) -> list[str]:
+    """The paths, without repeats and without what lies below another one."""
     if isinstance(paths, str):
         return [paths]
-    return list(dict.fromkeys(paths))
+    given = list(dict.fromkeys(p.rstrip("/") or "/" for p in paths))
+    return [p for p in given if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in given)]
+
+
+def _reader(spark: SparkSession):
+    return spark.read.option("pathGlobFilter", FILE_NAME_GLOB).option("recursiveFileLookup", True)
 
 
 def _size_is_small(whole_file_bytes: int, whole_gzip_bytes: int):
@@ -53,7 +63,7 @@ def _size_is_small(whole_file_bytes: int, whole_gzip_bytes: int):
 
 def _whole_file_lines(spark: SparkSession, paths: list[str], is_small, header_lines: int):
     files = (
-        spark.read.option("pathGlobFilter", FILE_NAME_GLOB)
+        _reader(spark)
         .text(paths, wholetext=True)
         .where(is_small)
         .select(F.col("_metadata.file_path").alias("file_path"), "value")
@@ -61,7 +71,7 @@ def _whole_file_lines(spark: SparkSession, paths: list[str], is_small, header_li
         .select(
             "file_path",
             file_day(F.col("file_path")).alias("file_day"),
-            F.split("value", "\n").alias("lines"),
+            F.split(F.make_valid_utf8("value"), "\n").alias("lines"),
         )
     )
     # The outer form adds no test for an empty array, which would split twice.
@@ -76,31 +86,16 @@ def _whole_file_lines(spark: SparkSession, paths: list[str], is_small, header_li
     return lines.where((F.col("pos") >= header_lines) & ~is_rest).select(*LINE_SCHEMA.fieldNames())
 
 
-def _header_dropper(header_lines: int, name_pattern: str):
+def _header_dropper(header_lines: int):
     """Arrow batches of one task -> the same batches without header lines.
 
     Self-contained on purpose: it is shipped to the tasks by value.
     """
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import datetime
-        import re
-
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        name = re.compile(name_pattern, re.ASCII)
-
-        def day_of(path):
-            match = name.search(path)
-            if match is None:
-                return False, None
-            d = match.group(1)
-            try:
-                return True, datetime.date(2000 + int(d[0:2]), int(d[2:4]), int(d[4:6]))
-            except ValueError:
-                return True, None
-
         def check_end(key, seen, cut):
             if key is not None and key[1] == 0 and cut and seen < header_lines:
                 raise ValueError(
@@ -108,17 +103,8 @@ def _header_dropper(header_lines: int, name_pattern: str):
                     "raise spark.sql.files.maxPartitionBytes"
                 )
 
-        def emit(batch, path, day):
-            n = batch.num_rows
-            days = pa.repeat(pa.scalar(day, pa.date32()), n)
-            paths = pa.repeat(pa.scalar(path, pa.string()), n)
-            line = batch.column("line").cast(pa.string())
-            return pa.RecordBatch.from_arrays(
-                [paths, days, line], names=["file_path", "file_day", "line"]
-            )
-
         # One run = the lines of one split of one file, always consecutive.
-        current, seen, cut, wanted, day = None, 0, False, False, None
+        current, seen, cut = None, 0, False
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -141,13 +127,15 @@ def _header_dropper(header_lines: int, name_pattern: str):
                     check_end(current, seen, cut)
                     current, seen = key, 0
                     cut = batch.column("cut")[lo].as_py()
-                    wanted, day = day_of(key[0])
                 skip = 0
                 if key[1] == 0:
                     skip = min(max(header_lines - seen, 0), hi - lo)
                     seen += hi - lo
-                if wanted and lo + skip < hi:
-                    yield emit(batch.slice(lo + skip, hi - lo - skip), key[0], day)
+                if lo + skip < hi:
+                    rest = batch.slice(lo + skip, hi - lo - skip)
+                    yield rest.select(["file_path", "line"]).cast(
+                        pa.schema([("file_path", pa.string()), ("line", pa.string())])
+                    )
         check_end(current, seen, cut)
 
     return drop
@@ -156,17 +144,18 @@ def _header_dropper(header_lines: int, name_pattern: str):
 def _streamed_lines(spark: SparkSession, paths: list[str], is_small, header_lines: int):
     split_end = F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")
     lines = (
-        spark.read.option("pathGlobFilter", FILE_NAME_GLOB)
+        _reader(spark)
         .text(paths, lineSep="\n")
-        .where(~is_small)
+        .where(~is_small & file_name_matches(F.col("_metadata.file_path")))
         .select(
-            F.col("value").alias("line"),
+            F.make_valid_utf8("value").alias("line"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             (split_end < F.col("_metadata.file_size")).alias("cut"),
         )
     )
-    return lines.mapInArrow(_header_dropper(header_lines, FILE_NAME_PATTERN), LINE_SCHEMA)
+    kept = lines.mapInArrow(_header_dropper(header_lines), "file_path string, line string")
+    return kept.select("file_path", file_day(F.col("file_path")).alias("file_day"), "line")
 
 
 def read_lines(
@@ -177,8 +166,9 @@ def read_lines(
     whole_file_bytes: int = WHOLE_FILE_BYTES,
     whole_gzip_bytes: int = WHOLE_GZIP_BYTES,
 ) -> DataFrame:
-    """``(file_path, file_day, line)`` of all data lines below the given files,
-    folders or globs. Files whose name does not match are skipped."""
+    """``(file_path, file_day, line)`` of all data lines of the given files,
+    folders (with those below them) or globs. Files whose name does not match
+    are skipped; a file given twice, or below a folder given too, is read once."""
     paths = _path_list(paths)
     is_small = _size_is_small(whole_file_bytes, whole_gzip_bytes)
     return _whole_file_lines(spark, paths, is_small, header_lines).unionByName(
@@ -194,12 +184,14 @@ def read_points(spark: SparkSession, paths: Paths, **options) -> DataFrame:
 def list_files(spark: SparkSession, paths: Paths) -> DataFrame:
     """``(file_path, file_size, matched, file_day)`` of every file found,
     skipped ones included. File contents are not read."""
-    files = spark.read.format("binaryFile").load(_path_list(paths))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    # The same form of path as the lines have.
+    files = reader.load(_path_list(paths)).select(F.col("_metadata.file_path").alias("file_path"), "length")
     return files.select(
-        F.col("path").alias("file_path"),
+        "file_path",
         F.col("length").alias("file_size"),
-        file_name_matches(F.col("path")).alias("matched"),
-        file_day(F.col("path")).alias("file_day"),
+        file_name_matches(F.col("file_path")).alias("matched"),
+        file_day(F.col("file_path")).alias("file_day"),
     )
 
 
