@@ -68,7 +68,7 @@ def test_every_file_has_its_header_first(spark, tmp_path):
     body = []
     for name in names:
         assert "_240229_" in name
-        text = gzip.decompress((path / name).read_bytes()).decode().splitlines()
+        text = gzip.decompress(next(path.rglob(name)).read_bytes()).decode().splitlines()
         assert all("header line" in line for line in text[:HEADER_LINES])
         assert not any("header line" in line for line in text[HEADER_LINES:])
         body += text[HEADER_LINES:]
@@ -92,7 +92,7 @@ def test_order_within_a_file_is_kept(spark, tmp_path):
     day = datetime.date(2024, 2, 29)
     lines = spark.range(0, 500, 1, 1).select(F.lit(day).alias("file_day"), F.col("id").cast("string").alias("line"))
     (name,) = S.write_dat_lines(lines, str(tmp_path / "d"), cluster_days=False)
-    text = (tmp_path / "d" / name).read_text().splitlines()[HEADER_LINES:]
+    text = next((tmp_path / "d").rglob(name)).read_text().splitlines()[HEADER_LINES:]
     assert text == [str(i) for i in range(500)]
 
 
@@ -102,8 +102,55 @@ def test_days_outside_the_name_format_are_refused(spark, tmp_path):
         S.write_dat_lines(lines, str(tmp_path / "d"))
 
 
-def test_existing_files_are_not_overwritten(spark, tmp_path):
+def test_exports_add_up(spark, tmp_path):
     lines = spark.createDataFrame([(datetime.date(2024, 1, 1), "x")], "file_day date, line string").coalesce(1)
-    S.write_dat_lines(lines, str(tmp_path / "d"), cluster_days=False)
-    with pytest.raises(OSError, match="exists"):
+    for _ in range(2):
         S.write_dat_lines(lines, str(tmp_path / "d"), cluster_days=False)
+    assert S.read_lines(spark, str(tmp_path / "d")).count() == 2
+
+
+def test_a_failed_export_leaves_the_target_as_it_was(spark, tmp_path):
+    good = spark.createDataFrame([(datetime.date(2024, 1, 1), "x")], "file_day date, line string")
+    S.write_dat_lines(good, str(tmp_path / "d"))
+    before = sorted(str(p) for p in (tmp_path / "d").rglob("*"))
+    bad = spark.range(0, 1000, 1, 4).select(
+        F.lit(datetime.date(2024, 1, 2)).alias("file_day"),
+        F.when(F.col("id") == 999, F.raise_error(F.lit("half-way"))).otherwise("y").alias("line"),
+    )
+    with pytest.raises(Exception, match="half-way"):
+        S.write_dat_lines(bad, str(tmp_path / "d"), cluster_days=False)
+    assert sorted(str(p) for p in (tmp_path / "d").rglob("*")) == before
+
+
+def test_more_stations_than_bits_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="32 bits"):
+        S.write_dat(pts.frame(spark, [{"number_stations": 33}]), str(tmp_path / "d"))
+
+
+def test_one_shuffle_and_no_window(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    plans = []
+    write = DataFrameWriter.text
+
+    def spy(writer, *args, **options):
+        plans.append(pts.plan_of(writer._df))
+        return write(writer, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", spy)
+    S.write_dat(pts.frame(spark, [{}]), str(tmp_path / "d"))
+    (plan,) = plans
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Window" not in plan
+
+
+def test_clustering_needs_adaptive_execution(spark, conf, tmp_path):
+    conf("spark.sql.adaptive.enabled", "false")
+    with pytest.raises(ValueError, match="adaptive"):
+        S.write_parquet(pts.frame(spark, [{}]), str(tmp_path / "p"))
+    S.write_parquet(pts.frame(spark, [{}]), str(tmp_path / "p"), cluster_days=False)
+
+
+def test_days_of_extreme_times(spark, tmp_path):
+    extreme = pts.frame(spark, [{"epoch_ns": -(2**63)}, {"epoch_ns": 2**63 - 1}])
+    staged = S.stage(extreme, str(tmp_path / "p"))
+    assert sorted(str(r.file_day) for r in staged.collect()) == ["1677-09-21", "2262-04-11"]

@@ -4,8 +4,10 @@ import __spark_entry__ as contract
 import oracle
 import pytest
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+from voltpoint import plans
+
+QUERIES = plans.queries()
+SQL = plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,16 +42,38 @@ def test_files_are_written_once_per_application(spark, sf_dir):
 class Session:
     """As much of a session as choosing a folder needs."""
 
-    def __init__(self, **options):
-        self.conf = self
-        self.get = options.get
+    def __init__(self, master="local[2]", **options):
+        self.conf = self.sparkContext = self
+        self.master, self.get = master, options.get
+        self._jsc = None
 
 
 def test_scratch_folder_is_the_shared_one():
-    from voltpoint.plans import adapter
+    from voltpoint.sources import scratch_folder
 
-    cluster = Session(**{"spark.checkpoint.dir": "/shared/checkpoints/"})
-    folder = adapter.scratch_folder(cluster)
+    cluster = Session("yarn", **{"spark.checkpoint.dir": "/shared/checkpoints/"})
+    folder = scratch_folder(cluster)
     assert folder.startswith("/shared/checkpoints/voltpoint-")
-    assert folder != adapter.scratch_folder(cluster)
-    assert adapter.scratch_folder(Session()) != adapter.scratch_folder(Session())
+    assert folder != scratch_folder(cluster)
+    assert scratch_folder(Session()) != scratch_folder(Session())
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_folder(Session("yarn"))
+
+
+def test_scratch_is_removed(spark):
+    from voltpoint.sources import remove_scratch, scratch_folder
+
+    session = spark.newSession()
+    folder = scratch_folder(session)
+    session.range(3).write.parquet(folder)
+    remove_scratch(session)
+    with pytest.raises(Exception, match="(?i)path"):
+        session.read.parquet(folder)
+
+
+def test_the_session_time_zone_has_no_part(spark, con, sf_dir, conf):
+    for zone in ("America/Chicago", "Asia/Kathmandu"):
+        conf("spark.sql.session.timeZone", zone)
+        for name in ("epoch_ns_of_ts", "parse_lylout", "filter_points"):
+            ours = QUERIES[name](spark, sf_dir).toArrow()
+            assert oracle.differences(ours, con.sql(SQL[name]).to_arrow_table()) == []

@@ -64,3 +64,12 @@ def test_the_extent_is_computed_once(spark, selection):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # partial + final aggregate of the extent, and the rows
     assert len(jobs) <= 3
+
+
+def test_only_the_needed_columns_are_read(spark, sf_dir, tmp_path):
+    from voltpoint import sources as S
+
+    staged = S.stage(adapter.event_points(spark, sf_dir), str(tmp_path / "s"))
+    plan = pts.plan_of(O.normalize_time(staged).select("color"))
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert schemas and all("epoch_ns" in s and not any(c in s for c in ("lon", "lat", "alt")) for s in schemas)

@@ -160,18 +160,6 @@ def test_palette_interpolates_between_entry_centres(spark):
         assert (r.red, r.green, r.blue) == pytest.approx(want, abs=1e-12)
 
 
-def test_palette_names():
-    with pytest.raises(ValueError, match="Viridis"):
-        O.named_palette("Jet")
-    try:
-        import matplotlib  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError, match="RGB"):
-            O.named_palette("Viridis")
-    else:
-        assert len(O.named_palette("Viridis")) == 256
-
-
 def test_large_palette_is_compiled_in(spark):
     palette = [(i / 255, 1 - i / 255, 0.5) for i in range(256)]
     colored = O.apply_palette(spark.range(1000).select((F.col("id") / 999).alias("color")), palette)
@@ -185,3 +173,24 @@ def test_grid_over_other_columns(spark):
     df = spark.createDataFrame(rows, "a double, b int, k int")
     cells = {(c.px, c.py): (c.last, c.n) for c in O.grid(df, "a", "b", 2, 2, latest="k").collect()}
     assert cells == {(0, 0): (6, 2), (1, 1): (3, 2)}
+
+
+def test_points_outside_a_given_extent_stay_out(spark):
+    rows = [{"lon": float(x), "lat": 30.0 + x, "alt": float(x), "epoch_ns": T0 + x} for x in range(10)]
+    points = pts.frame(spark, rows)
+    narrow = O.point_extent(points.where("lon BETWEEN 3 AND 6"))
+    cells = O.raster(points, "lon_lat", 4, 4, extents=narrow).collect()
+    assert sorted((c.px, c.py, c.n) for c in cells) == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1)]
+    assert sorted(tuple(r) for r in O.alt_histogram(points, 3, narrow).collect()) == [(0, 1), (1, 1), (2, 2)]
+    assert O.rasters(points, 4, 4, narrow).groupBy("panel", "px", "py").count().where("count > 1").count() == 0
+    frames = O.raster_frames(points, "lon_lat", 4, 4, 2, narrow)
+    assert {r.frame for r in frames.collect()} == {0, 1}
+
+
+def test_small_negative_and_large_labels(spark):
+    from voltpoint.functions import fixed_decimals
+
+    values = [-1e-7, -0.5, 0.0, 1e30, float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(fixed_decimals(F.col("v"))).collect()]
+    assert got[:3] == ["-0.000000", "-0.500000", "0.000000"]
+    assert float(got[3]) == 1e30 and got[4] == "NaN"

@@ -57,3 +57,39 @@ def test_report_of_loaded_files(spark, sf_dir, tmp_path, staged):
     ws.load(adapter.event_files(spark, sf_dir), stage_to=str(tmp_path / "s") if staged else None)
     assert ws.load_report().groupBy().sum("rows").first()[0] == 1000
     ws.clear()
+
+
+def test_report_lists_skipped_and_empty_files(spark, tmp_path):
+    from voltpoint.schema import HEADER_LINES
+
+    header = "h\n" * HEADER_LINES
+    (tmp_path / "LYLOUT_230517_000000_0600.dat").write_text(header + "1 2 3 4 5 6 7\n")
+    (tmp_path / "LYLOUT_230518_000000_0600.dat").write_text(header)
+    (tmp_path / "notes.txt").write_text("no")
+    ws = Workspace(spark, view="report")
+    ws.load(str(tmp_path))
+    found = {r.file_path.rsplit("/", 1)[1]: (r.matched, r.rows) for r in ws.load_report().collect()}
+    assert sorted(found.values()) == [(False, 0), (True, 0), (True, 1)]
+    ws.clear()
+
+
+def test_two_workspaces_with_names_of_their_own(spark, sf_dir):
+    points = adapter.event_points(spark, sf_dir)
+    one, two = Workspace(spark, view="one"), Workspace(spark, view="two")
+    one.use(points)
+    two.use(points)
+    one.clear()
+    assert spark.table("two").count() == 1000
+    two.clear()
+
+
+def test_the_extent_of_a_selection_is_worked_out_once(spark, sf_dir):
+    ws = Workspace(spark, view="once")
+    ws.use(adapter.event_points(spark, sf_dir))
+    assert ws.extent() is ws.extent()
+    plan = ws.ticks()._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "FileScan" not in plan
+    before = ws.extent()
+    ws.set_thresholds(min_stations=9)
+    assert ws.extent() is not before
+    ws.clear()
