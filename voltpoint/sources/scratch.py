@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -11,37 +10,35 @@ from pyspark.sql import SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name in the shared folder the cluster names in
     ``spark.checkpoint.dir``.
 
     Only a local master, whose tasks all run on this machine, may do without:
-    it gets a temporary folder. The folders of a session are removed with
-    `remove_scratch`, or when Python ends while the session still runs."""
+    it gets a temporary folder. What is written there goes with `remove_scratch`,
+    or when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.gettempdir()
     folder = f"{shared.rstrip('/')}/voltpoint-{uuid.uuid4().hex}"
+    if spark.sparkContext._jsc is not None:
+        path, fs = _file_system(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     _made.append((spark, folder))
-    return folder
+    return f"{folder}/work"
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Remove what was written below the session's scratch folders."""
-    mine = [folder for session, folder in _made if session is spark]
+    for folder in [folder for session, folder in _made if session is spark]:
+        path, fs = _file_system(spark, folder)
+        fs.delete(path, True)
     _made[:] = [made for made in _made if made[0] is not spark]
-    for folder in mine:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark in {id(session): session for session, _ in _made}.values():
-        if spark.sparkContext._jsc is not None:
-            try:
-                remove_scratch(spark)
-            except Exception:  # the JVM may have gone first
-                return
