@@ -290,10 +290,13 @@ def test_sketches_fill_and_agree_as_sets_do():
 
     rng = np.random.default_rng(1)
     for n in (1, 2, 10, 500):
-        assert (neardup.sketch([rng.integers(0, 2**63, n).astype(np.uint64)]) != neardup._EMPTY).all()
+        assert (neardup.sketch([rng.integers(0, 2**63, n).astype(np.uint64)], 336) != neardup._EMPTY).all()
     a = np.arange(1000, dtype=np.uint64) * np.uint64(7919)
     pair = neardup.sketch([a, a[150:]], 4096)
     assert abs((pair[0] == pair[1]).mean() - 0.85) < 0.03
+    for percent in (80, 85, 95):
+        bands, rows = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-8 and bands <= 64
 
 
 # --- benchmark ---------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -10,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from voltpoint.sources.scratch import scratch_folder
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,16 +19,10 @@ _folders: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables, below the shared
-    folder the cluster names; a temporary one only on a local master."""
+    """This application's folder for intermediate tables."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="voltpoint-llm-")
-        _folders[app] = f"{shared.rstrip('/')}/voltpoint-llm-{app}"
+        _folders[app] = scratch_folder(spark)
     return _folders[app]
 
 
@@ -40,10 +34,6 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def has_rows(frame: DataFrame) -> bool:
-    return not frame.isEmpty()
-
-
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text)`` alone, whatever else the table holds."""
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -58,10 +48,6 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -74,12 +60,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T.StructType.fromDDL(ddl))
-
-
 def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8; null is empty."""
     column = batch.column(name)

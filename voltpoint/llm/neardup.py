@@ -13,6 +13,7 @@ pairs that share a band and are not linked yet are compared on their full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,18 @@ from voltpoint.llm.graph import connected_components
 
 #: Words of a shingle, and least similarity of a link in percent.
 SHINGLE, PERCENT = 5, 85
-#: A pair at 85 % shares no band in about one of 10**8 cases.
-BANDS, ROWS = 48, 7
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band with which a pair at ``percent`` shares no band
+    in one of 10**8 cases, as many rows as 64 bands allow."""
+    for rows in range(12, 0, -1):
+        bands = math.ceil(math.log(1e-8) / math.log1p(-((percent / 100) ** rows)))
+        if bands <= 64:
+            break
+    return bands, rows
+
+
 #: Texts of a cluster that one task holds together.
 BLOCK = 2048
 
@@ -58,7 +69,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def sketch(sets: list[np.ndarray], t: int = BANDS * ROWS) -> np.ndarray:
+def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     """One row of ``t`` coordinates for every set; none of them may be empty."""
     filled = np.full((len(sets), t), _EMPTY, np.uint64)
     flat = filled.reshape(-1)
@@ -79,7 +90,9 @@ def sketch(sets: list[np.ndarray], t: int = BANDS * ROWS) -> np.ndarray:
     return filled
 
 
-def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    bands, rows = banding(percent)
+    sketches = sketch(sets, bands * rows)
     parts = sketches.reshape(len(sketches), bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sketches), bands))
     with np.errstate(over="ignore"):
@@ -88,13 +101,13 @@ def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
     return mix(key)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             sets = shingle_sets(binary_texts(batch))
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = band_keys(sketch([sets[i] for i in full])).view(np.int64) if full else np.empty((0, BANDS), np.int64)
+            keys = band_keys([sets[i] for i in full], percent).view(np.int64)
             # Empty sets get a key of their own, so that they lie apart.
             first, second, bands = batch.column("rid").to_pylist(), [None] * len(sets), [None] * len(sets)
             for row, i in enumerate(full):
@@ -107,7 +120,7 @@ def _keys(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
             )
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:
         return False
@@ -116,7 +129,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join all sets which any chain of links joins. ``side``: sets
     of different sides meet, or all if there is one side."""
     root = list(range(len(sets)))
@@ -132,22 +145,22 @@ def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray) -> list[tup
         shared = (keys[:x] == keys[x]).sum(axis=1)
         meet = np.flatnonzero((shared > 0) & (one_side | (side[:x] != side[x])))
         for y in meet[np.argsort(-shared[meet], kind="stable")].tolist():
-            if find(x) != find(y) and similar(sets[x], sets[y]):
+            if find(x) != find(y) and similar(sets[x], sets[y], percent):
                 root[find(x)] = find(y)
                 links.append((x, y))
     return links
 
 
-def _link_group(table: pa.Table) -> pa.Table:
+def _link_group(table: pa.Table, percent: int) -> pa.Table:
     batch = table.combine_chunks().to_batches()[0]
     sets = shingle_sets(binary_texts(batch))
-    keys = np.concatenate([band_keys(sketch(sets[i : i + 512])) for i in range(0, len(sets), 512)])
+    keys = np.concatenate([band_keys(sets[i : i + 512], percent) for i in range(0, len(sets), 512)])
     nodes, side = batch.column("node").to_numpy(), batch.column("block").to_numpy()
-    found = np.array(link(sets, keys, side), np.int64).reshape(-1, 2)
+    found = np.array(link(sets, keys, side, percent), np.int64).reshape(-1, 2)
     return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
 
 
-def _links(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(numbered: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Verified links between classes; a class is named by its first row."""
     classes = rows.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.min("rid").alias("node"))
     one_each = staged(rows.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select("rid", "bands"), "bands")
@@ -162,14 +175,15 @@ def _links(numbered: DataFrame, rows: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     texts = numbered.join(placed, F.col("rid") == F.col("node")).select("component", "node", "block", "text", other.alias("other"))
     texts = texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    linked = texts.groupBy("component", "low", "high").applyInArrow(_link_group, "a bigint, b bigint")
+    linked = texts.groupBy("component", "low", "high").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint")
     return staged(linked, "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``rid, doc_id, n_shingles, component_id, kept, keep`` for every row.
 
-    ``rid`` is the row's place in the input, which a table read from files
+    Rows are linked whose sets of five-word shingles are similar by ``percent``
+    or more. ``rid`` is the row's place in the input, which a table read from files
     keeps. ``component_id`` is the smallest id reachable over links, ``kept``
     says that it is the row's own, and ``keep`` is true for just one row of each
     component, even where rows repeat.
@@ -181,8 +195,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = T.StructType(
         [numbered.schema["doc_id"], *T.StructType.fromDDL("rid bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")]
     )
-    rows = staged(numbered.mapInArrow(lambda b: _keys(b, to_arrow_schema(schema)), schema), "sketches")
-    components = connected_components(_links(numbered, rows))
+    rows = staged(numbered.mapInArrow(lambda b: _keys(b, percent, to_arrow_schema(schema)), schema), "sketches")
+    components = connected_components(_links(numbered, rows, percent))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
     classes = rows.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.min("rid").alias("node"), best.alias("best"))
     classes = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -210,8 +224,8 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without near-duplicates of one that stays."""
-    gone = near_duplicates(docs).where(~F.col("keep")).select(F.col("rid").alias("gone"))
+    gone = near_duplicates(docs, percent).where(~F.col("keep")).select(F.col("rid").alias("gone"))
     numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("rid"))
     return numbered.join(staged(gone, "gone"), F.col("rid") == F.col("gone"), "left_anti").select("doc.*")
