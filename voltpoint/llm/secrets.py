@@ -97,7 +97,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repo: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``doc_id, copies`` and ``spans``: an array of ``start, stop, rank, kind,
+    """``doc_id, copies`` and ``spans``: an array of ``start, rank, stop, kind,
     owners, repos, live`` in order of start and kind, for each distinct row.
 
     Spans are in code points, ends exclusive. Base kinds are all kept; a span of
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "source", max_owner
         .join(owned, "secret")
         .withColumn("live", live)
         .where("kind <> 'live' or live")
-        .select("doc_id", "h", "repo", "owner", F.struct("start", "stop", rank.alias("rank"), "kind", "owners", "repos", "live").alias("span"))
+        .select("doc_id", "h", "repo", "owner", F.struct("start", rank.alias("rank"), "stop", "kind", "owners", "repos", "live").alias("span"))
     )
     every = found.groupBy("doc_id", "h", "repo", "owner").agg(F.max("copies").alias("copies"))
     rows = every.select("doc_id", "h", "repo", "owner", "copies", F.lit(None).cast(judged.schema["span"].dataType).alias("span"))
