@@ -32,13 +32,17 @@ def _looks_random(value: Column) -> Column:
     return digit & ((lower & upper) | ((F.length(value) >= 32) & (lower | upper)))
 
 
+_MATCHES = "array<struct<kind:string,at:int,gap:int,size:int,value:string>>"
+
+
 def _matches(text: Column, kind: str, pattern: str, group: int | None = None) -> Column:
     """``kind, at, gap, size, value`` of every match: ``gap`` characters lie
-    between it and the match before."""
+    between it and the match before. Most texts have none, which one search
+    tells; the others are taken apart."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     values = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.transform(
+    rows = F.transform(
         F.arrays_zip(found.alias("found"), F.slice(gaps, F.lit(1), F.size(found)).alias("gaps"), values.alias("values")),
         lambda m, at: F.struct(
             F.lit(kind).alias("kind"),
@@ -48,6 +52,7 @@ def _matches(text: Column, kind: str, pattern: str, group: int | None = None) ->
             m["values"].alias("value"),
         ),
     )
+    return F.when(text.rlike(pattern), rows.cast(_MATCHES)).otherwise(F.array().cast(_MATCHES))
 
 
 def candidates(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFrame:
