@@ -90,4 +90,63 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
 """
 
-ORACLE = {"op3_mixing": OP3, "op4_sharding": OP4, "op9_benchmark": OP9, "op10_near_duplicates": OP10}
+OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT r, p, md5(b[p:p + 399]) AS k FROM (SELECT r, b, unnest(range(1, n - 398)) AS p FROM n WHERE n >= 400)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p FROM w JOIN twice USING (k)),
+edge AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, true) AS new FROM hit),
+run AS (SELECT r, min(p) AS a, max(p) + 400 AS z
+        FROM (SELECT r, p, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY p) AS g FROM edge) GROUP BY r, g),
+gap AS (SELECT r, coalesce(lag(z) OVER o, 1) AS a, a - 1 AS z FROM run WINDOW o AS (PARTITION BY r ORDER BY a)
+        UNION ALL SELECT r, max(z), any_value(n.n) FROM run JOIN n USING (r) GROUP BY r
+        UNION ALL SELECT r, 1, n FROM n WHERE r NOT IN (SELECT r FROM run)),
+kept AS (SELECT r, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS h FROM gap JOIN n USING (r) GROUP BY r),
+gone AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM n LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+kinds(kind, rank, pattern, grp, least) AS (VALUES
+  ('assign', 1, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12),
+  ('access', 2, '(AKIA[A-Z0-9]+)', 1, 18),
+  ('hex', 3, '([0-9a-f]{16,})', 1, 16),
+  ('live', 4, '([A-Za-z0-9+/_-]{20,})', 1, 20)),
+m AS (
+  SELECT r, kind, rank, least, regexp_extract_all(t, pattern) AS found, regexp_extract_all(t, pattern, 1) AS vals,
+         string_split_regex(t, pattern) AS gaps
+  FROM d CROSS JOIN kinds WHERE regexp_matches(t, pattern)),
+u AS (SELECT r, kind, rank, least, unnest(range(1, len(found) + 1)) AS i, found, vals, gaps FROM m),
+s AS (SELECT r, kind, rank, least, vals[i] AS v, length(found[i]) AS n,
+             sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM u),
+c AS (SELECT s.*, stop - n AS start, source FROM s JOIN d USING (r) WHERE length(v) >= least),
+o AS (SELECT v, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM c GROUP BY v),
+j AS (SELECT r, kind, rank, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, owners,
+             regexp_matches(v, '[0-9]') AND (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+               OR length(v) >= 32 AND regexp_matches(v, '[A-Za-z]')) AS random
+      FROM c JOIN o USING (v)),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+             count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> 'live') AS base,
+             string_agg(span, ',' ORDER BY start, rank) AS spans,
+             count(*) FILTER (WHERE kind <> 'live' AND owners = 1) AS n_live,
+             count(*) FILTER (WHERE kind <> 'live' AND owners > 1) AS n_copied
+      FROM j WHERE kind <> 'live' OR random AND owners = 1 GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE = {
+    "op3_mixing": OP3,
+    "op4_sharding": OP4,
+    "op7_secrets": OP7,
+    "op8_substrings": OP8,
+    "op9_benchmark": OP9,
+    "op10_near_duplicates": OP10,
+}
