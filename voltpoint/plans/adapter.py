@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltpoint.functions.parse import epoch_ns_of_timestamp
+from voltpoint.schema import HEADER_LINES
 from voltpoint.sources.export import write_dat_lines
 from voltpoint.sources.scratch import scratch_folder
 
@@ -109,6 +110,7 @@ def event_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", path.alias("path"))
 
 
+EMPTY_FILE = "LYLOUT_990101_000000_86400.dat"
 _files: dict[tuple[str, str], str] = {}
 
 
@@ -120,6 +122,14 @@ def _event_folder(spark: SparkSession, sf_dir: str) -> str:
         odd = F.dayofmonth("file_day") % 2 == 1
         write_dat_lines(lines.where(~odd), f"{folder}/2024/plain")
         write_dat_lines(lines.where(odd), f"{folder}/2024/gz ip", gzip=True)
+        # A file of another name, and one that is a header and nothing else.
+        note = spark.range(1).select(F.lit("not a point file").alias("value"))
+        note.coalesce(1).write.text(f"{folder}/2024/plain/notes")
+        empty = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/2024/gz ip/{EMPTY_FILE}")
+        fs = empty.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        file = fs.create(empty)
+        file.writeBytes("header line\n" * HEADER_LINES)
+        file.close()
         _files[key] = folder
     return _files[key]
 

@@ -246,7 +246,8 @@ def oracle_sql() -> dict[str, str]:
         PARSED,
         "SELECT true AS matched, file_day, count(*) AS rows, count(*) - count(epoch_ns) AS null_times, "
         "count(*) - count(alt) AS null_alts, count(*) - count(number_stations) AS null_stations "
-        "FROM parsed GROUP BY file_day",
+        "FROM parsed GROUP BY file_day "
+        "UNION ALL SELECT true, '2099-01-01', 0, 0, 0, 0 UNION ALL SELECT false, NULL, 0, 0, 0, 0",
     )
     sql["replace_load"] = _with(
         POINTS, "SELECT count(*) AS rows, min(alt) AS alt_min, max(alt) AS alt_max FROM pts"

@@ -108,7 +108,7 @@ def union_days(spark, sf):
 
 
 def load_report(spark, sf):
-    """One row per file, files of other names included."""
+    """Per day of all files, the empty and those of other names included."""
     folders = adapter.event_files(spark, sf)
     report = S.load_report(S.read_points(spark, folders), S.list_files(spark, folders))
     return report.groupBy("matched", _day()).agg(
