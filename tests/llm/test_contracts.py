@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 from voltpoint.llm import queries as Q
+from voltpoint.llm import sharding
 from voltpoint.llm.oracle import ORACLE
 
 COLUMNS = {
@@ -29,6 +30,15 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert oracle.differences(ours, theirs) == []
 
 
+def test_small_shards_equal_sql(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for limit in (300, 20_000, 200_000):
+        ours = sharding.digest(docs, limit).toArrow()
+        theirs = oracle.connect(sf_dir).sql(ORACLE["op4_sharding"].replace(str(Q.SHARD_BYTES), str(limit)))
+        assert oracle.differences(ours, theirs.to_arrow_table()) == []
+        assert len(set(ours["shard"].to_pylist())) > 1
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns(spark, sf_dir, name):
     found = dict(Q.queries()[name](spark, sf_dir).dtypes)

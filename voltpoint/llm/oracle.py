@@ -65,9 +65,9 @@ n AS (
   FROM (SELECT r, h, n_bytes, CAST(unnest(range(0, 45)) AS INTEGER) AS depth FROM d)
   WINDOW b AS (PARTITION BY depth, h >> (44 - depth))),
 s AS (SELECT r, min(depth) AS depth, arg_min(prefix, depth) AS prefix, arg_min(bytes, depth) AS bytes
-      FROM n WHERE bytes <= 1048576 OR n = 1 OR depth = 44 GROUP BY r)
+      FROM n WHERE bytes <= 67108864 OR n = 1 OR depth = 44 GROUP BY r)
 SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
-       CAST(bytes AS BIGINT) AS shard_bytes, bytes > 1048576 AS oversized
+       CAST(bytes AS BIGINT) AS shard_bytes, bytes > 67108864 AS oversized
 FROM d JOIN s USING (r)
 """
 

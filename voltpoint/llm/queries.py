@@ -43,8 +43,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
-#: Bytes of text in a shard; so small that tables of every size are split.
-SHARD_BYTES = 1 << 20
+#: Bytes of text that a shard holds at most.
+SHARD_BYTES = 64 << 20
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
