@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ TRAIN_SYMBOLS, TRAIN_CAPITALS = 1, 30
 LOWER, UPPER = 1 / 1.5, 3.0
 #: Bits of a symbol; bytes of models sent to the executors at a time.
 BITS, MODEL_BYTES = 6, 256 << 20
+#: Rows whose texts are held as objects at a time.
+SLICE = 512
 ORDER, MARKS = 4, ".,;:!?'\"()-/"
 _BEGIN, _SPACE, _DIGIT, _CAPITAL, _LETTER, _MARK, _ASCII, _OTHER, _HASHED = 0, 1, 2, 3, 4, 30, 42, 43, 44
 
@@ -114,6 +117,13 @@ def grams(sequence: np.ndarray) -> np.ndarray:
     return code
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces whose texts are few enough to be held as objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _count(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pending: dict[str, list] = {}
@@ -127,7 +137,8 @@ def _count(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
                 n = np.bincount(back, n).astype(np.int64)
             totals[lang] = codes, n
 
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+        rows = (zip(b.column("text").to_pylist(), b.column("lang").to_pylist()) for b in _slices([batch]))
+        for text, lang in chain.from_iterable(rows):
             base = base_counts(text or "")
             if base["base_failed"] or 100 * base["n_symbols"] > TRAIN_SYMBOLS * base["word_chars"]:
                 continue
@@ -199,17 +210,16 @@ class Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], models: dict[str, Model], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         rows, scores = [], []
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             base = base_counts(text or "")
             model = models.get(lang)
             rows.append(base)
             scores.append(None if base["base_failed"] or model is None else round(model.log_perplexity(symbols(text)[0]), 6))
-        made = {name: [r[name] for r in rows] for name in (rows[0] if rows else ())} | {"log_perplexity": scores}
+        made = {name: [r[name] for r in rows] for name in rows[0]} | {"log_perplexity": scores}
         yield pa.RecordBatch.from_arrays(
-            [pa.array(made.get(f.name, []), f.type) if f.name in made or not rows else batch.column(f.name).cast(f.type) for f in schema],
-            schema=schema,
+            [pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in schema], schema=schema
         )
 
 
@@ -250,9 +260,12 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     are judged alike; an empty table has no rows."""
     spark: SparkSession = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    source = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("doc"), "text", lang.alias("lang"))
+    carry = docs.columns if carry is None else carry
+    others = F.struct(F.lit(True).alias("_"), *[F.col(c) for c in carry if c != "text"])
+    source = docs.select(others.alias("others"), "text", lang.alias("lang"))
     counts = staged(count_grams(source), "grams")
-    schema = T.StructType([source.schema["doc"], source.schema["lang"], *T.StructType.fromDDL(COUNTS + ", log_perplexity double")])
+    passed = [f for f in source.schema.fields if f.name != "text" or "text" in carry]
+    schema = T.StructType([*passed, *T.StructType.fromDDL(COUNTS + ", log_perplexity double")])
     parts, seen = [], []
     for models in _model_sets(counts):
         sent = spark.sparkContext.broadcast(models)
@@ -261,14 +274,9 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         seen += list(models)
     rest = source.where(~F.col("lang").isin(seen)) if seen else source
     parts.append(rest.mapInArrow(lambda b: _score(b, {}, to_arrow_schema(schema)), schema))
-    scored = union_all(parts)
-    if carry is not None and "text" not in carry:
-        scored = staged(scored, "scores")
-        values = scored
-    else:
-        # Only the slim columns are needed for the medians.
-        values = scored.select("lang", "log_perplexity")
-    bins = values.where("log_perplexity is not null").groupBy("lang", F.floor(F.col("log_perplexity") * 1000).alias("bin"))
+    # Scoring is the costly part, so it is done once: the medians need it first.
+    scored = staged(union_all(parts), "scores")
+    bins = scored.where("log_perplexity is not null").groupBy("lang", F.floor(F.col("log_perplexity") * 1000).alias("bin"))
     bins = bins.agg(F.count("*").alias("n"))
     by_bin = Window.partitionBy("lang").orderBy("bin")
     total = F.sum("n").over(Window.partitionBy("lang"))
@@ -282,7 +290,9 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     else:
         inside = F.lit(True)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return scored.withColumn("kept", kept).drop("lang")
+    doc = F.struct(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in carry])
+    made = [f.name for f in T.StructType.fromDDL(COUNTS)]
+    return scored.select(doc.alias("doc"), *made, "log_perplexity", kept.alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
