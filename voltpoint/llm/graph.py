@@ -16,20 +16,26 @@ def _with_smallest(edges: DataFrame) -> DataFrame:
     return edges.join(smallest, "a")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge hangs a leaf below a centre: no node hangs twice, and
+    nothing hangs below one that hangs itself. Edges are distinct."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of the
     edges ``a, b``; loops and repeated edges do no harm, and none give none.
 
-    Alternates large-star and small-star steps until nothing changes: each hangs
-    neighbours below the smallest node known, in a number of rounds that grows
-    with the logarithm of the graph. Each round is written to the shared folder."""
+    Alternates large-star and small-star steps until only stars are left: each
+    hangs neighbours below the smallest node known, in a number of rounds that
+    grows with the logarithm of the graph. Each round is written to the shared
+    folder."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = staged(edges, "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
+    edges = staged(edges, "edges")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_smallest(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = staged(large, "large")

@@ -129,9 +129,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join all sets which any chain of links joins. ``side``: sets
-    of different sides meet, or all if there is one side."""
+def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int) -> list[int]:
+    """For each set one of those that a chain of links joins it to, the same one
+    for all of them. ``side``: sets of different sides meet, or all if there is
+    one side."""
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -140,24 +141,27 @@ def link(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: in
             x = root[x]
         return x
 
-    links, one_side = [], bool((side == side[0]).all()) if len(side) else True
+    one_side = bool((side == side[0]).all()) if len(side) else True
     for x in range(1, len(sets)):
         shared = (keys[:x] == keys[x]).sum(axis=1)
         meet = np.flatnonzero((shared > 0) & (one_side | (side[:x] != side[x])))
         for y in meet[np.argsort(-shared[meet], kind="stable")].tolist():
             if find(x) != find(y) and similar(sets[x], sets[y], percent):
                 root[find(x)] = find(y)
-                links.append((x, y))
-    return links
+    return [find(x) for x in range(len(sets))]
 
 
 def _link_group(table: pa.Table, percent: int) -> pa.Table:
+    """Edges from each linked node to the smallest of those it is joined to."""
     batch = table.combine_chunks().to_batches()[0]
     sets = shingle_sets(binary_texts(batch))
     keys = np.concatenate([band_keys(sets[i : i + 512], percent) for i in range(0, len(sets), 512)])
     nodes, side = batch.column("node").to_numpy(), batch.column("block").to_numpy()
-    found = np.array(link(sets, keys, side, percent), np.int64).reshape(-1, 2)
-    return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+    group = np.array(link(sets, keys, side, percent), np.int64)
+    smallest = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, nodes)
+    hangs = smallest[group] < nodes
+    return pa.table({"a": nodes[hangs], "b": smallest[group][hangs]})
 
 
 def _links(numbered: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
