@@ -208,10 +208,20 @@ def scan_licenses(
     )
 
 
+def _tree(doc_id: Column, source: Column) -> Column:
+    """A path for documents that have none: the source, a folder for each digit
+    of the id but the last two, and the id. One file in ten, by a hash of the id,
+    lies a folder higher, one in a hundred two, and so on, so that folders of
+    every level hold files of their own, few at any size of the table."""
+    name = doc_id.cast("string")
+    lift = F.length(F.regexp_extract(F.pmod(F.xxhash64(name), F.lit(10**9)).cast("string"), "0*$", 0))
+    digits = F.substring(name, F.lit(1), F.greatest(F.lit(0), F.length(name) - 2 - lift))
+    folders = F.regexp_replace(digits, "(.)", "$1/")
+    return F.concat(F.coalesce(source.cast("string"), F.lit("_")), F.lit("/"), F.coalesce(folders, F.lit("")), F.coalesce(name, F.lit("_")))
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """`scan_licenses` over documents: a document's path is its source, its
-    language, a folder of a thousand ids and its id, and a document that opens
-    with a notice is its folder's licence file."""
-    parts = ["source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")]
-    path = F.concat_ws("/", *[F.coalesce(p if isinstance(p, Column) else F.col(p), F.lit("_")) for p in parts])
-    return scan_licenses(docs, path, is_license_file=F.col("opens"))
+    """`scan_licenses` over documents, whose paths are those of `_tree`. A
+    document with a notice anywhere is a licence file of its folder; the first
+    by path counts for the folders below."""
+    return scan_licenses(docs, _tree(F.col("doc_id"), F.col("source")), is_license_file=F.lit(True))
