@@ -1,6 +1,10 @@
-"""Inheritance of licences in the registered query."""
+"""Inheritance of licences in the registered query, and notices of any wording."""
+
+import collections
+import re
 
 import __spark_entry__
+from voltpoint.llm import licenses
 
 
 def test_the_query_inherits_from_several_levels(spark):
@@ -20,3 +24,23 @@ def test_the_query_inherits_from_several_levels(spark):
             assert r.license == (min(files[nearest])[1] if nearest else None)
             levels |= {own.count("/") - nearest.count("/")} if nearest else set()
     assert {0, 1} <= levels
+
+
+def test_a_notice_needs_no_cue_word(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    forms = ["CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0"]
+    more = [(-1 - k, f"plain prose\nReleased under {form}.", "x") for k, form in enumerate(forms)]
+    docs = table.union(spark.createDataFrame(more, table.schema))
+    rows = docs.collect()
+    held = collections.Counter(t for r in rows for t in set(licenses.terms(r.text)))
+    vocabulary = {t for ns in licenses.TEMPLATES.values() for n in ns for t in licenses.terms(n)}
+    every = licenses.Notices(licenses.TEMPLATES, {t: held[t] for t in vocabulary}, len(rows))
+    found = {r.doc_id: r for r in licenses.digest(docs).collect()}
+    for r in rows:
+        paragraphs = [p for p in re.split(r"\n[^\S\n]*\n", r.text) if p.strip()]
+        units = [r.text, *paragraphs, *r.text.split("\n")]
+        best = max(every.best(words)[0] for words in map(licenses.terms, units) if words)
+        assert (found[r.doc_id].via == "notice") == (best >= licenses.LEAST)
+        if best >= licenses.LEAST:
+            assert found[r.doc_id].score == best
+    assert [found[-1 - k].license for k in range(3)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]

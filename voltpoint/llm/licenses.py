@@ -1,8 +1,8 @@
 """Licence scans: notices by TF-IDF cosine, then inheritance by directory.
 
-Every line, paragraph and whole text that holds a cue word is a sparse TF-IDF
-vector, compared to the notices of known licences; document frequencies come
-from the whole corpus. A file without a notice of its own inherits from the
+Every line, paragraph and whole text is a sparse TF-IDF vector, compared to the
+notices of known licences unless the weight it shares with them cannot reach the
+least cosine; document frequencies come from the whole corpus. A file without a notice of its own inherits from the
 nearest directory above it that has a licence file. The ancestors of the
 distinct directories are joined to the licensed ones, and the files to their
 directory, so a directory with many files costs one row until the last join.
@@ -69,7 +69,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ),
 }
-#: A passage without any of these words is no notice.
+#: Words of most notices. The scan does not need any of them to be there; only
+#: the older test of scores still names them.
 CUES = frozenset(
     "license licenses licensed licence licences licenced gpl agpl lgpl copying permission permitted redistribute redistribution "
     "cc0 public spdx".split()
@@ -98,6 +99,23 @@ class Notices:
                 for term, weight in vector.items():
                     self.postings.setdefault(term, []).append((len(self.vectors), weight))
                 self.vectors.append(name)
+        #: The most that a term weighs in any notice.
+        self.most = {t: max(w for _, w in of) for t, of in self.postings.items()}
+
+    def reaches(self, counts: Counter, least: float) -> bool:
+        """Whether the cosine to a notice can be ``least``: no notice gives a
+        term more than its greatest weight, and a notice has length one."""
+        shared = counts.keys() & self.most.keys()
+        if not shared:
+            return False
+        squares, inside, reach = sum(n * n for n in counts.values()), 0.0, 0.0
+        for term in shared:
+            n, weight = counts[term], counts[term] * self.idf[term]
+            squares += weight * weight - n * n
+            inside += weight * weight
+            reach += weight * self.most[term]
+        # Cosines are rounded to six digits.
+        return min(reach, math.sqrt(inside)) >= (least - 1e-6) * math.sqrt(squares)
 
     def vector(self, words: list[str]) -> dict[str, float]:
         weights = {t: n * self.idf.get(t, 1.0) for t, n in Counter(words).items()}
@@ -121,7 +139,7 @@ class Notices:
         units = [u for p in paragraphs for u in ((p, *p.split("\n")) if "\n" in p else (p,))]
         for unit in units + ([text] if len(paragraphs) > 1 else []):
             words = terms(unit)
-            if not CUES.isdisjoint(words):
+            if self.reaches(Counter(words), least):
                 score, name = self.best(words)
                 if score >= least:
                     found.append((-score, name))
