@@ -34,6 +34,12 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """``rows`` with a number ``rid`` of each, written once: a second scan of the
+    input may be cut into other partitions and number its rows otherwise."""
+    return staged(rows.withColumn("rid", F.monotonically_increasing_id()), name)
+
+
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text)`` alone, whatever else the table holds."""
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voltpoint.llm.common import binary_texts, mix, staged
+from voltpoint.llm.common import binary_texts, mix, numbered, staged
 from voltpoint.llm.graph import connected_components
 
 #: Words of a shingle, and least similarity of a link in percent.
@@ -164,7 +164,7 @@ def _link_group(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": nodes[hangs], "b": smallest[group][hangs]})
 
 
-def _links(numbered: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _links(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Verified links between classes; a class is named by its first row."""
     classes = rows.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.min("rid").alias("node"))
     one_each = staged(rows.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi").select("rid", "bands"), "bands")
@@ -177,7 +177,7 @@ def _links(numbered: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(staged(sizes, "sizes"), "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = numbered.join(placed, F.col("rid") == F.col("node")).select("component", "node", "block", "text", other.alias("other"))
+    texts = texts.join(placed, F.col("rid") == F.col("node")).select("component", "node", "block", "text", other.alias("other"))
     texts = texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     linked = texts.groupBy("component", "low", "high").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint")
     return staged(linked, "links")
@@ -187,20 +187,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``rid, doc_id, n_shingles, component_id, kept, keep`` for every row.
 
     Rows are linked whose sets of five-word shingles are similar by ``percent``
-    or more. ``rid`` is the row's place in the input, which a table read from files
-    keeps. ``component_id`` is the smallest id reachable over links, ``kept``
+    or more. ``rid`` is a number that the row is given once. ``component_id`` is the smallest id reachable over links, ``kept``
     says that it is the row's own, and ``keep`` is true for just one row of each
     component, even where rows repeat.
 
     Null, empty and blank texts have no shingle and stand alone. Null ids are
     passed over for ``component_id`` and never ``kept``; a component of null ids
     has a null one. An empty table has no rows."""
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    return _judged(numbered(docs.select("doc_id", "text")), percent)
+
+
+def _judged(texts: DataFrame, percent: int) -> DataFrame:
+    """`near_duplicates` of ``rid, doc_id, text``, a written table."""
     schema = T.StructType(
-        [numbered.schema["doc_id"], *T.StructType.fromDDL("rid bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")]
+        [texts.schema["doc_id"], *T.StructType.fromDDL("rid bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")]
     )
-    rows = staged(numbered.mapInArrow(lambda b: _keys(b, percent, to_arrow_schema(schema)), schema), "sketches")
-    components = connected_components(_links(numbered, rows, percent))
+    rows = staged(texts.mapInArrow(lambda b: _keys(b, percent, to_arrow_schema(schema)), schema), "sketches")
+    components = connected_components(_links(texts, rows, percent))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
     classes = rows.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.min("rid").alias("node"), best.alias("best"))
     classes = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -230,6 +233,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without near-duplicates of one that stays."""
-    gone = near_duplicates(docs, percent).where(~F.col("keep")).select(F.col("rid").alias("gone"))
-    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    return numbered.join(staged(gone, "gone"), F.col("rid") == F.col("gone"), "left_anti").select("doc.*")
+    rows = numbered(docs.select(F.struct("*").alias("doc")))
+    judged = _judged(rows.select("rid", "doc.doc_id", "doc.text"), percent)
+    gone = staged(judged.where(~F.col("keep")).select(F.col("rid").alias("gone")), "gone")
+    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("doc.*")

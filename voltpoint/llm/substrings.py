@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voltpoint.llm.common import binary_texts, mix, staged
+from voltpoint.llm.common import binary_texts, mix, numbered, staged
 
 #: Bytes of a string, and of a gram that may be its anchor.
 LENGTH, GRAM = 400, 64
@@ -194,12 +194,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """``rid, doc_id, text, found``: for every row the ranges of starts of
     strings of ``length`` bytes that also start anywhere else, in any order.
 
-    ``rid`` is the row's place in the input, which a table read from files
-    keeps; equal rows repeat each other. Null, empty and shorter texts have no
+    ``rid`` is a number that the row is given once; equal rows repeat each other. Null, empty and shorter texts have no
     string. An empty table has no rows."""
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    rows = numbered(docs.select("doc_id", "text"))
     schema = T.StructType.fromDDL(_RECORD)
-    slim = numbered.select("rid", "text")
+    slim = rows.select("rid", "text")
     records = staged(slim.mapInArrow(lambda b: _records(b, length, gram, to_arrow_schema(schema)), schema), "anchors")
     shared = staged(records.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "shared")
     mine = staged(records.join(shared, "m"), "stretches")
@@ -239,7 +238,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     )
     found = mine.join(judged, ["m", "ctx"]).select("rid", shifted.alias("found"))
     found = staged(found.groupBy("rid").agg(F.flatten(F.collect_list("found")).alias("found")), "found")
-    return numbered.join(found, "rid", "left").select("rid", "doc_id", "text", "found")
+    return rows.join(found, "rid", "left").select("rid", "doc_id", "text", "found")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
