@@ -142,6 +142,88 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN g USING (r)
 """
 
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, prefix, text, sha256(prefix || body) AS leaf,
+         -- The lowest bit of the CRC-32 of the id's digits.
+         coalesce(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+           lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+           4294967295) & 1 = 1, false) AS hit
+  FROM (SELECT *, coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+          coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+          || coalesce(octet_length(encode(source)) || ':' || source, '-')
+          || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+          || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS prefix FROM documents)),
+leaves AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n,
+         CASE WHEN hit AND text IS NOT NULL
+              THEN sha256(prefix || octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''))
+              ELSE leaf END AS given
+  FROM d),
+tree AS (
+  SELECT source, 0 AS k, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, k + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i))
+  FROM tree WHERE n > 1 GROUP BY source, k, i // 3),
+subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS k, i, n, h FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 3),
+fold AS (
+  SELECT r, source, 0 AS k, i, n, given AS h, '' AS path FROM leaves
+  UNION ALL
+  SELECT f.r, any_value(f.source), f.k + 1, f.i // 3, any_value((t.n + 2) // 3),
+         sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)),
+         any_value(f.path) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> f.i), '')
+  FROM fold f JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.k = f.k AND t.i // 3 = f.i // 3
+  WHERE f.n > 1 GROUP BY f.r, f.k, f.i),
+top_fold AS (
+  SELECT r, s.source, s.h AS subroot, 0 AS k, s.i, s.n, f.h, f.path
+  FROM fold f JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+  UNION ALL
+  SELECT f.r, any_value(f.source), any_value(f.subroot), f.k + 1, f.i // 3, any_value((t.n + 2) // 3),
+         sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)),
+         any_value(f.path) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> f.i), '')
+  FROM top_fold f JOIN top t ON t.k = f.k AND t.i // 3 = f.i // 3
+  WHERE f.n > 1 GROUP BY f.r, f.k, f.i)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves JOIN (SELECT * FROM top_fold WHERE n = 1) f USING (r) CROSS JOIN (SELECT h AS root FROM top WHERE n = 1)
+"""
+
+OP12 = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(low, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM pieces CROSS JOIN (VALUES (1), (2), (3)) AS s(m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT lang, m, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, h.a AS l, r.a AS r,
+         (1000000::HUGEINT * c.a * c.a // (h.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cut c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_pairs AS (
+  SELECT lang, a, array_to_string(list_slice(w, p, p + 1), ' ') AS phrase
+  FROM (SELECT lang, a, string_split(phrase, ' ') AS w, unnest([1, 2]) AS p FROM f WHERE m = 3)),
+longest AS (SELECT lang, phrase, max(a) AS most FROM inner_pairs GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longest g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE g.most IS NULL OR 100 * g.most < 50 * b.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op3_mixing": OP3,
     "op4_sharding": OP4,
@@ -149,4 +231,6 @@ ORACLE = {
     "op8_substrings": OP8,
     "op9_benchmark": OP9,
     "op10_near_duplicates": OP10,
+    "op11_manifest": OP11,
+    "op12_collocations": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltpoint.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, sharding, substrings, tokens
+from voltpoint.llm import decontaminate, language, licenses, manifest, mixing, neardup, packing, phrases, quality, secrets, sharding, substrings, tokens
 from voltpoint.llm.oracle import ORACLE
 
 
@@ -59,7 +59,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_licenses, op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op7_secrets, op8_substrings, op9_benchmark, op10_near_duplicates]
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_licenses, op2_language, op3_mixing, op4_sharding, op5_tokens, op6_quality, op7_secrets, op8_substrings, op9_benchmark, op10_near_duplicates, op11_manifest, op12_collocations, op13_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
