@@ -82,14 +82,10 @@ def test_every_frequent_phrase_survives(monkeypatch):
     monkeypatch.setattr(phrases, "ROW_HASHES", 64)
     monkeypatch.setattr(phrases, "PARTITION_MASS", 400)
     made = [r for half in (rows[:150], rows[150:]) for b in phrases._summaries(batches(half), 5) for r in b.to_pylist()]
-    made.sort(key=lambda r: r["p"])
-    mass = Counter()
-    for r in made:
-        mass[r["p"]] += r["mass"]
-    dealt = pa.RecordBatch.from_pylist([r | {"all_mass": mass[r["p"]]} for r in made])
+    made.sort(key=lambda r: (r["p"], r["mass"] is None))
+    dealt = pa.RecordBatch.from_pylist(made, phrases._SUMMARY)
     least = 25
     bits = np.zeros(1 << (phrases.FILTER_BITS - 3), np.uint8)
-    left = 0
     for b in phrases._survivors(iter([dealt]), least):
         for r in b.to_pylist():
             some = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)

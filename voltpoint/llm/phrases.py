@@ -31,9 +31,12 @@ ORDER, LEAST, TOP, COVER_PERCENT = 3, 10, 2000, 50
 NO_LANG = "und"
 #: Occurrences that a hash partition holds about.
 PARTITION_MASS = 1 << 22
-#: Tokens and different words that a task counts at a time, hashes of one row,
-#: bytes of a text that are cut into words at a time.
-TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 22, 1 << 20, 1 << 15, 1 << 20
+#: Tokens that a task counts at a time, different words that it remembers, hashes
+#: of one row, bytes of a text that are cut into words at a time.
+TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 21, 1 << 20, 1 << 15, 1 << 20
+#: Bytes of a hash that are sent, the leading ones: too few only let phrases that
+#: share them be counted as one in the first pass.
+HASH_BYTES = 6
 #: The bit array of survivors has 2**FILTER_BITS bits.
 FILTER_BITS = 28
 
@@ -50,13 +53,14 @@ def language(lang: Column) -> Column:
 class _Words(dict):
     """Words of one language -> numbers, counted through for all languages."""
 
-    def __init__(self, lang: str, all_words: list[tuple[str, bytes]]) -> None:
+    def __init__(self, lang: str, tokens: _Tokens) -> None:
         self[b"."] = 0
-        self.lang, self.all_words = lang, all_words
+        self.lang, self.seed, self.tokens = lang, xxhash.xxh64_intdigest(lang.encode()), tokens
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.all_words)
-        self.all_words.append((self.lang, word))
+        self[word] = number = len(self.tokens.words)
+        self.tokens.words.append((self.lang, word))
+        self.tokens.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return number
 
 
@@ -64,96 +68,74 @@ class _Tokens:
     """Texts as numbers of words, 0 where phrases break off."""
 
     def __init__(self) -> None:
-        self.clear()
+        self._forget()
 
-    def clear(self) -> None:
+    def _forget(self) -> None:
         self.words: list[tuple[str, bytes]] = [("", b".")]
+        self.hashes = [0]
         self.langs: dict[str, _Words] = {}
+        self.clear()
+
+    def clear(self) -> None:
         self.parts: list[np.ndarray] = []
         self.n = 0
+        if len(self.words) > WORDS:
+            self._forget()
 
     def full(self) -> bool:
         return self.n > TOKENS or len(self.words) > WORDS
 
     def add(self, lang: str, text: bytes) -> None:
-        numbers = self.langs.setdefault(lang, _Words(lang, self.words))
+        if lang not in self.langs:
+            self.langs[lang] = _Words(lang, self)
+        numbers = self.langs[lang]
         text, at = text.translate(_TABLE), 0
         while at < len(text):
             stop = text.find(b" ", at + SLICE_BYTES) if at + SLICE_BYTES < len(text) else -1
             stop = len(text) if stop < 0 else stop
             tokens = text[at:stop].replace(b".", b" . ").split(b" ")
-            tokens = [t for t in tokens if t]
-            self.parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+            tokens = list(filter(None, tokens))
+            self.parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
             self.n += len(tokens)
             at = stop
-        self.parts.append(np.zeros(1, np.int64))
-
-    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length the different phrases, a row of word numbers each, and
-        how often each occurs."""
-        codes = np.concatenate([*self.parts, np.zeros(1, np.int64)])
-        size = np.int64(len(self.words))
-        keys, ends = codes, np.flatnonzero(codes)
-        for n in range(1, ORDER + 1):
-            found, at, counts = _distinct(keys[ends], n < ORDER)
-            yield self._spelled(codes, ends, found, n), counts
-            if n == ORDER or not len(found):
-                return
-            # Longer phrases: the number of the shorter one, then the next word.
-            grown = np.zeros(len(codes), np.int64)
-            following = ends + 1
-            inside = codes[following] > 0
-            following = following[inside]
-            grown[following] = at[inside] * size + codes[following]
-            keys, ends = grown, following
-
-    @staticmethod
-    def _spelled(codes: np.ndarray, ends: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-        last = ends[first]
-        return np.stack([codes[last - n + 1 + k] for k in range(n)], axis=1) if len(last) else np.zeros((0, n), np.int64)
-
-
-def _distinct(keys: np.ndarray, numbers: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Where each different key stands first, the number of each key's kind if
-    asked for, and how often each kind occurs."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(keys)))
-    kinds = None
-    if numbers:
-        kinds = np.empty(len(keys), np.int64)
-        kinds[order] = np.cumsum(new) - 1
-    return order[first], kinds, counts
-
-
-def _hashes(words: list[tuple[str, bytes]], grams: np.ndarray, of_word: np.ndarray) -> np.ndarray:
-    found = np.zeros(len(grams), np.uint64)
-    for k in range(grams.shape[1]):
-        found = mix(found * np.uint64(0x9E3779B97F4A7C15) + of_word[grams[:, k]])
-    return found
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[str, bytes]], list]]:
-    """Words, and the phrases of each length with hashes and counts, of as many
-    texts at a time as are counted together."""
+        self.parts.append(np.zeros(1, np.int32))
+
+    def grams(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The numbers, and for each length where the phrases end and their hashes."""
+        codes = np.concatenate(self.parts)
+        of_word = np.array(self.hashes, np.uint64)[codes]
+        ends, found = np.flatnonzero(codes), []
+        hashes = mix(of_word[ends])
+        found.append((ends, hashes))
+        for _ in range(ORDER - 1):
+            # The last token is a break, so every end has a token behind it.
+            inside = codes[ends + 1] > 0
+            ends = ends[inside] + 1
+            with np.errstate(over="ignore"):
+                hashes = mix(hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + of_word[ends])
+            found.append((ends, hashes))
+        return codes, found
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tokens]:
+    """As many texts at a time as are counted together."""
     tokens = _Tokens()
-
-    def counted():
-        of_word = np.array([xxhash.xxh64_intdigest(lang.encode() + b"\0" + w) for lang, w in tokens.words], np.uint64)
-        with np.errstate(over="ignore"):
-            return tokens.words, [(grams, _hashes(tokens.words, grams, of_word), counts) for grams, counts in tokens.grams()]
-
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), binary_texts(batch)):
             tokens.add(lang, text)
             if tokens.full():
-                yield counted()
+                yield tokens
                 tokens.clear()
-    if tokens.n:
-        yield counted()
+    if tokens.parts:
+        yield tokens
+
+
+def _kinds(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each kind begins in a sorted array, and how many of it there are."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(ordered)))
 
 
 # --- first pass: Misra-Gries summaries ------------------------------------------------
@@ -167,11 +149,9 @@ def merge(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
     """One Misra-Gries summary of ``capacity`` counters from the counters of
     several: equal keys are added; where more are left, all lose what the first
     one too many has. A count loses less than its mass / (capacity + 1)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = np.flatnonzero(new)
+    first, _ = _kinds(keys)
     keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
     if len(keys) > capacity:
         counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
@@ -179,22 +159,39 @@ def merge(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
     return keys, counts
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def _unpacked(keys: bytes) -> np.ndarray:
+    whole = np.zeros((len(keys) // HASH_BYTES, 8), np.uint8)
+    whole[:, :HASH_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, HASH_BYTES)
+    return whole.view(">u8").ravel().astype(np.uint64)
+
+
+# A row without keys brings a partition's occurrences of a task, ahead of the others.
 SUMMARY = "p bigint, mass bigint, keys binary, counts binary"
 _SUMMARY = pa.schema([("p", pa.int64()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], partitions: int) -> Iterator[pa.RecordBatch]:
-    for _, found in _counted(batches):
-        keys = np.concatenate([hashes for _, hashes, _ in found])
-        counts = np.concatenate([c for _, _, c in found])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+    masses = np.zeros(partitions, np.int64)
+    for tokens in _counted(batches):
+        ordered = np.sort(np.concatenate([hashes for _, hashes in tokens.grams()[1]]))
+        first, counts = _kinds(ordered)
+        keys = ordered[first]
         parts = partition_of(keys, partitions)
+        masses += np.bincount(parts, counts, partitions).astype(np.int64)
         cuts = np.flatnonzero(np.diff(parts)) + 1
         bounds = np.unique(np.concatenate([[0], cuts, np.arange(0, len(keys), ROW_HASHES), [len(keys)]]))
-        rows = [(int(parts[a]), int(counts[a:b].sum()), keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
-        for at in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 256]), _SUMMARY)], schema=_SUMMARY)
+        rows = [(int(parts[a]), None, _packed(keys[a:b]), counts[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
+        yield from _rows(rows, _SUMMARY)
+    yield from _rows([(int(p), int(masses[p]), None, None) for p in np.flatnonzero(masses)], _SUMMARY)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 256]), schema)], schema=schema)
 
 
 _SURVIVORS = pa.schema([("p", pa.int64()), ("first_byte", pa.int64()), ("bits", pa.binary())])
@@ -212,32 +209,33 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         packed = zstandard.ZstdCompressor(1).compress(array.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([p]), pa.array([first]), pa.array([packed], pa.binary())], schema=_SURVIVORS)
 
-    at, mass = None, 0
+    at, mass, held = None, 0, 0
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle():
-        nonlocal keys, counts, waiting
+        nonlocal keys, counts, waiting, held
         keys = np.concatenate([keys, *[k for k, _ in waiting]])
         counts = np.concatenate([counts, *[c for _, c in waiting]])
-        keys, counts = merge(keys, counts, capacity)
-        waiting = []
+        # More counters than occurrences / least.
+        keys, counts = merge(keys, counts, mass // least + 1)
+        waiting, held = [], 0
 
     for batch in batches:
-        for p, all_mass, k, c in zip(*[batch.column(n).to_pylist() for n in ("p", "all_mass", "keys", "counts")]):
+        for p, some_mass, k, c in zip(*[batch.column(n).to_pylist() for n in ("p", "mass", "keys", "counts")]):
             if p != at:
                 if at is not None:
                     settle()
                     yield bits(at, keys)
                 at, mass = p, 0
-                # More counters than occurrences / least.
-                capacity = all_mass // least + 1
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            waiting.append((np.frombuffer(k, np.uint64), np.frombuffer(c, "<u4").astype(np.int64)))
-            mass += len(waiting[-1][0])
-            if mass > PARTITION_MASS // 4:
+            if k is None:
+                mass += some_mass
+                continue
+            waiting.append((_unpacked(k), np.frombuffer(c, "<u4").astype(np.int64)))
+            held += len(waiting[-1][0])
+            if held > PARTITION_MASS // 8:
                 settle()
-                mass = 0
     if at is not None:
         settle()
         yield bits(at, keys)
@@ -246,9 +244,9 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 def frequent_filter(texts: DataFrame, mass: int, least: int) -> bytes:
     """The bit array of all phrases that may occur ``least`` times, packed."""
     partitions = max(1, -(-mass // PARTITION_MASS))
-    found = staged(texts.mapInArrow(lambda b: _summaries(b, partitions), SUMMARY), "summaries")
-    masses = found.groupBy("p").agg(F.sum("mass").alias("all_mass"))
-    dealt = found.join(masses, "p").select("p", "all_mass", "keys", "counts").repartition("p").sortWithinPartitions("p")
+    found = texts.mapInArrow(lambda b: _summaries(b, partitions), SUMMARY)
+    # The occurrences of a partition come ahead of its counters.
+    dealt = found.repartition("p").sortWithinPartitions("p", F.col("mass").asc_nulls_last())
     left = dealt.mapInArrow(lambda b: _survivors(b, least), "p bigint, first_byte bigint, bits binary")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in staged(left, "survivors").collect():
@@ -262,21 +260,35 @@ def frequent_filter(texts: DataFrame, mass: int, least: int) -> bytes:
 _EXACT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64())])
 
 
+def _distinct(codes: np.ndarray, ends: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different phrases that end at ``ends``, a row of word numbers each, and
+    how often each occurs."""
+    words = [codes[ends - n + 1 + k].astype(np.int64) for k in range(n)]
+    if size ** n < 1 << 62:
+        keys = words[0]
+        for more in words[1:]:
+            keys = keys * size + more
+        order = np.argsort(keys)
+        first, counts = _kinds(keys[order])
+        return np.stack([w[order[first]] for w in words], axis=1), counts
+    return np.unique(np.stack(words, axis=1), axis=0, return_counts=True)
+
+
 def _exact(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    for words, found in _counted(batches):
-        spelled = [w.decode("utf-8", "replace") for _, w in words]
-        for grams, hashes, counts in found:
+    for tokens in _counted(batches):
+        codes, found = tokens.grams()
+        for n, (ends, hashes) in enumerate(found, 1):
             places = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            kept = np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
-            for at in range(0, len(kept), 1 << 16):
-                some = kept[at : at + (1 << 16)]
-                numbers = grams[some].tolist()
+            kept = ends[(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)]
+            grams, counts = _distinct(codes, kept, n, len(tokens.words))
+            for at in range(0, len(grams), 1 << 15):
+                some = [[tokens.words[k] for k in row] for row in grams[at : at + (1 << 15)].tolist()]
                 columns = [
-                    pa.array([words[row[0]][0] for row in numbers], pa.string()),
-                    pa.array([" ".join([spelled[k] for k in row]) for row in numbers], pa.string()),
-                    pa.array(np.full(len(some), grams.shape[1], np.int32)),
-                    pa.array(counts[some].astype(np.int64)),
+                    pa.array([row[0][0] for row in some], pa.string()),
+                    pa.array([b" ".join([w for _, w in row]) for row in some], pa.binary()).cast(pa.string()),
+                    pa.array(np.full(len(some), n, np.int32)),
+                    pa.array(counts[at : at + (1 << 15)].astype(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=_EXACT)
 
