@@ -82,7 +82,7 @@ def test_sequences_are_padded(spark):
     assert all(len(r.ids) == 4 * (r.n_tokens if r.n_tokens.bit_count() == 1 else 16) for r in found)
 
 
-@pytest.mark.parametrize("text", ["á <|endoftext|> x<|startoftext|>y", "don't I'LL 'VE", "x y z\x1cq", "Σίσυφος ΣΑΣ\n\nİstanbul 4²", "́ lone \x00 \x85", "word " * 3000, "y" * 5000])
+@pytest.mark.parametrize("text", ["á <|endoftext|> x<|startoftext|>y", "don't I'LL 'VE", "x y z\x1cq", "Σίσυφος ΣΑΣ\n\nİstanbul 4²", "́ lone \x00 \x85", "word " * 3000, "y" * 5000, "Élan!'s ÀÉŒ×÷ I'llama\x0b12\x7f", "a''ll 'S <| x", "İı ŉ ſ ß"])
 def test_words_side_by_side_are_the_text(text):
     with open(PATH, encoding="utf-8") as file:
         spec = file.read()

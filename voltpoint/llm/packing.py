@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,22 +29,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from voltpoint.llm.common import binary_texts, staged, texts_of
 
 CAPACITY, END_ID = 2048, 1
-#: Words whose ids a task remembers, the longest of them in bytes, and the bytes
-#: of a text that are cut into words at a time.
-CACHE_WORDS, CACHE_BYTES, SLICE_BYTES = 1 << 19, 64, 1 << 20
+#: Pieces of text whose ids a worker remembers, the longest of them in bytes, and
+#: the bytes of a text that are cut into words at a time.
+CACHE_PIECES, CACHE_BYTES, SLICE_BYTES = 1 << 20, 64, 1 << 20
 
-
-# --- token ids -----------------------------------------------------------------
+# Fixed value of the vocabulary: how a normalized text falls into pre-tokens.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for plain texts: printable ASCII and composed Latin letters, which
+#: normalization only puts in lower case, and without a special token.
+_LETTERS = "a-zß-öø-ÿĀ-ſ"
+_PLAIN = re.compile(r"[\t-\r\x20-\x7EÀ-ſ]*\Z")
+_PLAIN_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\t-\\r\\x20{_LETTERS}0-9]+")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(spec: str) -> Tokenizer:
-    return Tokenizer.from_str(spec)
+# --- token ids -----------------------------------------------------------------
 
 
 def check_vocabulary(spec: str) -> np.dtype:
@@ -61,43 +65,76 @@ def check_vocabulary(spec: str) -> np.dtype:
     return np.dtype("<u2") if ids < 1 << 16 else np.dtype("<u4")
 
 
+class _Known(dict):
+    """Pre-tokens of plain texts -> their ids, which the model gives by itself."""
+
+    def __init__(self, tokenizer: Tokenizer, kind: np.dtype) -> None:
+        self.model, self.kind = tokenizer.model, kind
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+        ids = np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+        if len(piece) <= CACHE_BYTES:
+            self[piece] = ids
+        return ids
+
+
 class _Encoder:
-    """The ids of whole texts; white space parts words and has no ids, so that a
-    text's ids are those of its words side by side."""
+    """The ids of whole texts. White space parts words and has no ids, so a text's
+    ids are those of its words side by side. Plain texts are cut into pre-tokens
+    here; words of all others go to the library as they are."""
 
     def __init__(self, spec: str, kind: np.dtype) -> None:
-        self.tokenizer, self.kind = _tokenizer(spec), kind
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, found)}
-
-    def _slice(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = self._ids(list({w for w in words if w not in self.known}))
-            ids = b"".join([new[w] if w in new else self.known[w] for w in words])
-            self.known.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
-            return ids
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), kind
+        found = json.loads(spec)
+        pattern = found["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        kinds = [n["type"] for n in found["normalizer"]["normalizers"]]
+        self.cuts = pattern == PRE_TOKEN and kinds == ["NFC", "Replace", "Lowercase"] and all("<|" in t["content"] for t in found["added_tokens"])
+        self.known, self.words = _Known(self.tokenizer, kind), {}
+
+    def _plain(self, text: str) -> bytes:
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, _PLAIN_TOKEN.findall(text.lower())))
+
+    def _words(self, words: list[bytes]) -> bytes:
+        if len(self.words) > CACHE_PIECES // 8:
+            self.words.clear()
+        new = list({w for w in words if w not in self.words})
+        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
+        ids = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
+        joined = b"".join([ids[w] if w in ids else self.words[w] for w in words])
+        self.words.update((w, x) for w, x in ids.items() if len(w) <= CACHE_BYTES)
+        return joined
+
+    def _slice(self, text: bytes) -> bytes:
+        if self.cuts and b"<|" not in text:
+            characters = text.decode("utf-8")
+            if _PLAIN.match(characters):
+                return self._plain(characters)
+        return self._words(text.split())
 
     def text(self, text: bytes) -> bytes:
         if len(text) <= SLICE_BYTES:
-            return self._slice(text.split())
+            return self._slice(text)
         parts, at = [], 0
         while at < len(text):
             stop = text.find(b" ", at + SLICE_BYTES)
             stop = len(text) if stop < 0 else stop
-            parts.append(self._slice(text[at:stop].split()))
+            parts.append(self._slice(text[at:stop]))
             at = stop
         return b"".join(parts)
 
 
+@lru_cache(maxsize=1)
+def _encoder(spec: str, kind: np.dtype) -> _Encoder:
+    """One for all tasks of a worker."""
+    return _Encoder(spec, kind)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], spec: str, kind: np.dtype, capacity: int, end: int, schema: pa.Schema):
-    encoder, part = _Encoder(spec, kind), TaskContext.get().partitionId()
+    encoder, part = _encoder(spec, kind), TaskContext.get().partitionId()
     width, last = kind.itemsize, np.array([end], kind).tobytes()
     seen = [0] * (capacity + 1)
     for batch in batches:
