@@ -5,8 +5,9 @@ up to three words is a 64-bit hash, hashes are dealt to hash partitions, and eac
 partition merges the counts of all tasks into one Misra-Gries summary. A summary
 of more than (occurrences in the partition) / (least frequency) counters loses
 less than the least frequency of any count, so every frequent phrase is left in
-it; the number of partitions grows with the texts and keeps summaries small. The
-second pass counts the survivors exactly, by their words.
+it; the number of partitions grows with the texts and keeps summaries small.
+Counters that could not be frequent with all that was lost go, too. The second
+pass counts the survivors exactly, by their words.
 
 Survivors reach the tasks of the second pass as a bit array of fixed size. It may
 let other phrases through, which the exact counts then drop.
@@ -29,11 +30,12 @@ from voltpoint.llm.common import binary_texts, mix, staged
 #: the share in percent from which a longer phrase stands for a shorter one.
 ORDER, LEAST, TOP, COVER_PERCENT = 3, 10, 2000, 50
 NO_LANG = "und"
-#: Occurrences that a hash partition holds about.
-PARTITION_MASS = 1 << 22
+#: Occurrences that a hash partition holds about, and how many times as many
+#: counters as needed it has: the more, the fewer rare phrases survive.
+PARTITION_MASS, SPARE = 1 << 22, 4
 #: Tokens that a task counts at a time, different words that it remembers, hashes
 #: of one row, bytes of a text that are cut into words at a time.
-TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 21, 1 << 20, 1 << 15, 1 << 20
+TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 20, 1 << 18, 1 << 15, 1 << 20
 #: Bytes of a hash that are sent, the leading ones: too few only let phrases that
 #: share them be counted as one in the first pass.
 HASH_BYTES = 6
@@ -145,18 +147,21 @@ def partition_of(hashes: np.ndarray, partitions: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
 
 
-def merge(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """One Misra-Gries summary of ``capacity`` counters from the counters of
-    several: equal keys are added; where more are left, all lose what the first
-    one too many has. A count loses less than its mass / (capacity + 1)."""
+    several, and what each has lost: equal keys are added; where more are left,
+    all lose what the first one too many has. Over all merges a count loses less
+    than mass / capacity."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first, _ = _kinds(keys)
     keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    lost = 0
     if len(keys) > capacity:
-        counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+        lost = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+        counts = counts - lost
         keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
+    return keys, counts, lost
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -198,27 +203,29 @@ _SURVIVORS = pa.schema([("p", pa.int64()), ("first_byte", pa.int64()), ("bits",
 
 
 def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The partitions of a task, sorted by their number: a bit for each hash that
-    is left in a partition's summary."""
+    """The partitions of a task, sorted by their number: a bit for each hash whose
+    counter, with what the summary may have lost of it, is frequent."""
 
-    def bits(p: int, keys: np.ndarray) -> pa.RecordBatch:
-        places = np.unique(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    def bits(p: int) -> pa.RecordBatch:
+        places = keys[counts + lost >= least]
+        places = np.unique(places >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
         first = int(places[0]) // 8 if len(places) else 0
         array = np.zeros(int(places[-1]) // 8 - first + 1 if len(places) else 0, np.uint8)
         np.bitwise_or.at(array, places // 8 - first, (1 << (places % 8)).astype(np.uint8))
         packed = zstandard.ZstdCompressor(1).compress(array.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([p]), pa.array([first]), pa.array([packed], pa.binary())], schema=_SURVIVORS)
 
-    at, mass, held = None, 0, 0
+    at, mass, held, lost = None, 0, 0, 0
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle():
-        nonlocal keys, counts, waiting, held
+        nonlocal keys, counts, waiting, held, lost
         keys = np.concatenate([keys, *[k for k, _ in waiting]])
         counts = np.concatenate([counts, *[c for _, c in waiting]])
         # More counters than occurrences / least.
-        keys, counts = merge(keys, counts, mass // least + 1)
+        keys, counts, more = merge(keys, counts, SPARE * mass // least + 1)
+        lost += more
         waiting, held = [], 0
 
     for batch in batches:
@@ -226,8 +233,8 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             if p != at:
                 if at is not None:
                     settle()
-                    yield bits(at, keys)
-                at, mass = p, 0
+                    yield bits(at)
+                at, mass, lost = p, 0, 0
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if k is None:
                 mass += some_mass
@@ -238,7 +245,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
                 settle()
     if at is not None:
         settle()
-        yield bits(at, keys)
+        yield bits(at)
 
 
 def frequent_filter(texts: DataFrame, mass: int, least: int) -> bytes:
@@ -293,12 +300,17 @@ def _exact(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays(columns, schema=_EXACT)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def word_totals(docs: DataFrame) -> DataFrame:
+    """``lang, n``: the words of each language."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    return docs.groupBy(language(F.col("lang")).alias("lang")).agg(F.sum(words).alias("n"))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, totals: DataFrame | None = None) -> DataFrame:
     """Written rows ``lang, phrase, words, a``: every phrase of one to three words
     that occurs ``least`` times or more in its language, and how often."""
     texts = docs.select(language(F.col("lang")).alias("lang"), "text")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    mass = texts.agg(F.sum(words)).first()[0] or 0
+    mass = (word_totals(docs) if totals is None else totals).agg(F.sum("n")).first()[0] or 0
     packed = frequent_filter(texts, ORDER * mass, least)
     sent = texts.sparkSession.sparkContext.broadcast(packed)
     found = texts.mapInArrow(lambda b: _exact(b, sent.value), "lang string, phrase string, words int, a bigint")
@@ -307,7 +319,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _part(first: Column, last: Column) -> Column:
     """Words of a phrase by number, from 1."""
-    return F.array_join(F.slice(F.split("phrase", " "), first, last - first + F.lit(1)), " ")
+    head = F.call_function("substring_index", F.col("phrase"), F.lit(" "), last)
+    return F.call_function("substring_index", head, F.lit(" "), first - last - F.lit(1))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -345,9 +358,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: i
     Null and empty texts have no words; repeated rows count each; a null language
     is ``und``. A language without a frequent phrase has no row, nor has an empty
     table. Ties in score and frequency go by the phrase's bytes."""
-    counts = phrase_counts(docs, least)
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    totals = docs.groupBy(language(F.col("lang")).alias("lang")).agg(F.sum(words).alias("n"))
+    totals = staged(word_totals(docs), "totals")
+    counts = phrase_counts(docs, least, totals)
     found = scored(counts).join(covered(counts, percent), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
