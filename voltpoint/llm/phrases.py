@@ -32,10 +32,12 @@ ORDER, LEAST, TOP, COVER_PERCENT = 3, 10, 2000, 50
 NO_LANG = "und"
 #: Occurrences that a hash partition holds about, and how many times as many
 #: counters as needed it has: the more, the fewer rare phrases survive.
-PARTITION_MASS, SPARE = 1 << 22, 4
+PARTITION_MASS, SPARE = 1 << 21, 4
 #: Tokens that a task counts at a time, different words that it remembers, hashes
 #: of one row, bytes of a text that are cut into words at a time.
 TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 20, 1 << 18, 1 << 15, 1 << 20
+#: Rows whose texts are held as objects at a time.
+SLICE = 256
 #: Bytes of a hash that are sent, the leading ones: too few only let phrases that
 #: share them be counted as one in the first pass.
 HASH_BYTES = 6
@@ -123,11 +125,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tokens]:
     """As many texts at a time as are counted together."""
     tokens = _Tokens()
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), binary_texts(batch)):
-            tokens.add(lang, text)
-            if tokens.full():
-                yield tokens
-                tokens.clear()
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.slice(at, SLICE)
+            for lang, text in zip(some.column("lang").to_pylist(), binary_texts(some)):
+                tokens.add(lang, text)
+                if tokens.full():
+                    yield tokens
+                    tokens.clear()
     if tokens.parts:
         yield tokens
 
@@ -229,7 +233,8 @@ def _survivors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         waiting, held = [], 0
 
     for batch in batches:
-        for p, some_mass, k, c in zip(*[batch.column(n).to_pylist() for n in ("p", "mass", "keys", "counts")]):
+        for p, some_mass, k, c in zip(*[batch.column(n) for n in ("p", "mass", "keys", "counts")]):
+            p, some_mass, k, c = p.as_py(), some_mass.as_py(), k.as_py(), c.as_py()
             if p != at:
                 if at is not None:
                     settle()
