@@ -1,5 +1,6 @@
 """Selection, extents, panels, rasters and colours over point frames."""
 
+from voltpoint.operators.components import components
 from voltpoint.operators.extents import (
     attach_extent,
     axis_ticks,
@@ -13,6 +14,7 @@ from voltpoint.operators.extents import (
     point_extent,
 )
 from voltpoint.operators.filters import filter_points, project_points, range_condition, range_filter
+from voltpoint.operators.flashes import flash_groups, flash_summary
 from voltpoint.operators.palette import apply_palette
 from voltpoint.operators.panels import normalize_time, panel, panels, relative_time
 from voltpoint.operators.raster import (
@@ -33,11 +35,14 @@ __all__ = [
     "axis_ticks_3",
     "axis_ticks_5",
     "cell",
+    "components",
     "extent",
     "extent_fields",
     "extent_per_row",
     "filter_points",
     "finite",
+    "flash_groups",
+    "flash_summary",
     "grid",
     "histogram",
     "normalize_time",

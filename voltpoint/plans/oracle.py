@@ -194,6 +194,20 @@ def _far(high: str, low: str) -> str:
     return f"coalesce({exact}, CAST({high} AS DOUBLE) - CAST({low} AS DOUBLE))"
 
 
+def _flashes(source: str) -> str:
+    f = Q.FLASH
+    axes = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in "xyz")
+    return f"""
+p AS (SELECT event_id, epoch_ns AS t, CAST(lon AS DOUBLE) * {f["km_per_lon"]}e0 AS x,
+             CAST(lat AS DOUBLE) * {f["km_per_lat"]}e0 AS y, CAST(alt AS DOUBLE) AS z FROM {source}),
+links AS (SELECT a.event_id AS one, b.event_id AS other FROM p a
+          JOIN p b ON b.t >= a.t - {f["max_gap_ns"]} AND b.t <= a.t + {f["max_gap_ns"]}
+          WHERE {axes} <= {f["max_km"] ** 2}e0),
+reach AS (SELECT event_id, event_id AS other FROM p
+          UNION SELECT reach.event_id, links.other FROM reach JOIN links ON reach.other = links.one),
+flashes AS (SELECT event_id, min(other)::BIGINT AS flash_id FROM reach GROUP BY event_id)"""
+
+
 def _dirty_extent() -> str:
     return f"""{POINTS},
 dirty AS (
@@ -397,6 +411,12 @@ def oracle_sql() -> dict[str, str]:
         + " FROM colored",
     )
 
+    sql["flash_group"] = f"WITH RECURSIVE {POINTS.strip()},{_flashes('pts')} SELECT event_id, flash_id FROM flashes"
+    sql["flash_summary"] = (
+        f"WITH RECURSIVE {SELECTION.strip()},{_flashes('sel')} SELECT flash_id, count(*) AS sources, "
+        "min(epoch_ns) AS t_min_ns, max(epoch_ns) AS t_max_ns FROM flashes JOIN sel USING (event_id) GROUP BY flash_id"
+    )
+
     # dirty values and windows
     dirty = _dirty_extent()
     sql["dirty_extent"] = _with(

@@ -344,6 +344,19 @@ def point_colors(spark, sf):
     return O.apply_palette(colored, PALETTE).select("event_id", "red", "green", "blue")
 
 
+# Five minutes and 25 km, over plain scales of a degree.
+FLASH = {"max_gap_ns": 300_000_000_000, "max_km": 25.0, "km_per_lon": 93.0, "km_per_lat": 111.0}
+
+
+def flash_group(spark, sf):
+    return O.flash_groups(_points(spark, sf), "event_id", **FLASH).select("event_id", "flash_id")
+
+
+def flash_summary(spark, sf):
+    groups = O.flash_groups(_selection(spark, sf), "event_id", **FLASH)
+    return O.flash_summary(groups).select("flash_id", "sources", "t_min_ns", "t_max_ns")
+
+
 # --- dirty values and windows -------------------------------------------------
 
 
@@ -464,6 +477,8 @@ _QUERIES: dict[str, Query] = {
     "grid_lineitem": grid_lineitem,
     "point_colors": point_colors,
     "raster_window": raster_window,
+    "flash_group": flash_group,
+    "flash_summary": flash_summary,
     "dirty_extent": dirty_extent,
     "dirty_relative_time": dirty_relative_time,
     "dirty_ticks": dirty_ticks,

@@ -2,7 +2,7 @@
 
 from voltpoint.sources.export import write_dat, write_dat_lines, write_parquet
 from voltpoint.sources.lylout import list_files, load_report, read_lines, read_points
-from voltpoint.sources.scratch import remove_scratch, scratch_folder
+from voltpoint.sources.scratch import remove_scratch, scratch_folder, written
 from voltpoint.sources.tables import clear, keep, read_staged, replace_load, stage
 
 __all__ = [
@@ -20,4 +20,5 @@ __all__ = [
     "write_dat",
     "write_dat_lines",
     "write_parquet",
+    "written",
 ]

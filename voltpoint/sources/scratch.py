@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -36,6 +36,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder}/work"
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` written to a scratch folder and read back: cuts the lineage and
+    outlives lost executors."""
+    path = scratch_folder(frame.sparkSession)
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Remove what was written below the session's scratch folders."""
     for folder in [folder for session, folder in _made if session is spark]:
