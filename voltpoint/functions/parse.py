@@ -16,6 +16,9 @@ from voltpoint.schema import (
 )
 
 
+MOST_BIGINT, LEAST_BIGINT = 2**63 - 1, -(2**63)
+
+
 def file_name_matches(path: Column) -> Column:
     """Whether a path names an input file: ``<word>_<yymmdd>_<n>_<n>.dat[.gz]``."""
     return path.rlike(FILE_NAME_PATTERN)
@@ -115,11 +118,22 @@ def epoch_ns_of_timestamp(ts: Column) -> Column:
     return ((day + minutes * F.lit(60)) * F.lit(1_000_000) + micros) * F.lit(1000)
 
 
+def _fits(high: Column, low: Column) -> Column:
+    """Whether a difference of two BIGINTs is one. Asked before it is taken, as an
+    overflow costs an exception for each row."""
+    return F.when(low < 0, high <= F.lit(MOST_BIGINT) + low).otherwise(high >= F.lit(LEAST_BIGINT) + low)
+
+
+def exact_difference(high: Column, low: Column) -> Column:
+    """BIGINT difference, NULL where it is beyond 64 bits."""
+    return F.when(_fits(high, low), high - low)
+
+
 def difference(high: Column, low: Column) -> Column:
     """DOUBLE difference of two BIGINTs: exact before it is rounded, or of the
     rounded numbers where the exact one is beyond 64 bits."""
-    exact = F.try_subtract(high, low).cast("double")
-    return F.coalesce(exact, high.cast("double") - low.cast("double"))
+    rounded = high.cast("double") - low.cast("double")
+    return F.when(_fits(high, low), (high - low).cast("double")).otherwise(rounded)
 
 
 def timestamp_of_epoch_ns(ns: Column) -> Column:

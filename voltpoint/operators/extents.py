@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltpoint.functions.parse import difference, fixed_decimals
+from voltpoint.functions.parse import difference, exact_difference, fixed_decimals
 from voltpoint.schema import EXTENT_PANELS, TICK_FIRST, TICKS_3, TICKS_5
 
 EXTENT = "_extent"
@@ -47,7 +47,7 @@ def point_extent(points: DataFrame) -> DataFrame:
         "source_count",
         F.col("epoch_ns_min").alias("t_min_ns"),
         F.col("epoch_ns_max").alias("t_max_ns"),
-        F.try_subtract("epoch_ns_max", "epoch_ns_min").alias("span_ns"),
+        exact_difference(F.col("epoch_ns_max"), F.col("epoch_ns_min")).alias("span_ns"),
         "lon_min",
         "lon_max",
         "lat_min",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltpoint.functions.parse import difference
+from voltpoint.functions.parse import difference, exact_difference
 from voltpoint.operators.extents import EXTENT, attach_extent, extent_fields, finite, point_extent
 from voltpoint.schema import PANELS
 
@@ -13,7 +13,7 @@ from voltpoint.schema import PANELS
 def rel_ns() -> Column:
     """Nanoseconds since the earliest point, of a frame with its extent attached;
     NULL where they are beyond 64 bits."""
-    return F.try_subtract(F.col("epoch_ns"), F.col(f"{EXTENT}.t_min_ns"))
+    return exact_difference(F.col("epoch_ns"), F.col(f"{EXTENT}.t_min_ns"))
 
 
 def elapsed() -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltpoint.functions.parse import floor_div
+from voltpoint.functions.parse import exact_difference, floor_div
 from voltpoint.schema import HEADER_LINES, NANOS_PER_SECOND, SECONDS_PER_DAY
 
 NANOS_PER_DAY = SECONDS_PER_DAY * NANOS_PER_SECOND
@@ -77,7 +77,7 @@ def point_lines(points: DataFrame) -> DataFrame:
         return F.coalesce(value.cast("string"), F.lit("-"))
 
     day_start = F.unix_date("file_day").cast("bigint") * F.lit(NANOS_PER_DAY)
-    rows = _with_file_day(points).withColumn("offset", F.try_subtract(F.col("epoch_ns"), day_start))
+    rows = _with_file_day(points).withColumn("offset", exact_difference(F.col("epoch_ns"), day_start))
     seconds = F.concat(
         F.when(F.col("offset") < 0, "-").otherwise(""),
         F.expr(f"abs(offset) div {NANOS_PER_SECOND}").cast("string"),
