@@ -1,6 +1,7 @@
 """Selection, extents, panels, rasters and colours over point frames."""
 
 from voltpoint.operators.components import components
+from voltpoint.operators.cube import cube_counts, threshold_cube
 from voltpoint.operators.extents import (
     attach_extent,
     axis_ticks,
@@ -36,6 +37,7 @@ __all__ = [
     "axis_ticks_5",
     "cell",
     "components",
+    "cube_counts",
     "extent",
     "extent_fields",
     "extent_per_row",
@@ -57,4 +59,5 @@ __all__ = [
     "raster_frames",
     "rasters",
     "relative_time",
+    "threshold_cube",
 ]

@@ -9,6 +9,7 @@ from voltpoint.functions.parse import epoch_ns_of_timestamp
 from voltpoint.schema import HEADER_LINES
 from voltpoint.sources.export import write_dat_lines
 from voltpoint.sources.scratch import scratch_folder
+from voltpoint.sources.store import PointStore
 
 # Fixed values of the derivation: a multiplicative hash gives the station mask.
 MASK_FACTOR = 2654435761
@@ -144,3 +145,39 @@ def event_files(spark: SparkSession, sf_dir: str) -> list[str]:
 def event_root(spark: SparkSession, sf_dir: str) -> str:
     """The folder above all of them."""
     return _event_folder(spark, sf_dir)
+
+
+STRIKE_SCHEMA = "event_id bigint, us bigint, lat double, lon double, current float"
+
+
+def strike_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of delimited text with a record of every event, some with a
+    latitude that is no number, some too short, and a line of comment; written
+    once per application."""
+    key = (spark.sparkContext.applicationId, f"strikes {sf_dir}")
+    if key not in _files:
+        number = F.col("event_id")
+        head = [number.cast("string"), F.call_function("div", epoch_ns_of_timestamp(F.col("ts")), F.lit(1000)).cast("string")]
+        lat = F.concat(F.when(number % 97 == 0, "x").otherwise("33."), F.lpad((number % 997).cast("string"), 3, "0"))
+        lon = F.concat(F.lit("-101."), F.lpad((number * 7 % 1009).cast("string"), 4, "0"))
+        rest = [lat, lon, (number % 141 - 70).cast("string")]
+        short = F.concat_ws(";", *head)
+        line = F.when(number % 101 == 0, short).otherwise(F.concat_ws(";", short, *rest))
+        folder = scratch_folder(spark)
+        table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
+        spark.range(1).select(F.lit("# a comment").alias("value")).write.mode("append").text(folder)
+        _files[key] = folder
+    return _files[key]
+
+
+_stores: dict[tuple[str, str], PointStore] = {}
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> PointStore:
+    """A versioned table of `event_files`, loaded once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = PointStore(spark, scratch_folder(spark))
+        store.replace(event_files(spark, sf_dir))
+        _stores[key] = store
+    return _stores[key]

@@ -267,6 +267,27 @@ def oracle_sql() -> dict[str, str]:
         POINTS, "SELECT count(*) AS rows, min(alt) AS alt_min, max(alt) AS alt_max FROM pts"
     )
 
+    short = "CAST(event_id AS VARCHAR) || ';' || CAST(epoch_us(ts) AS VARCHAR)"
+    lat, lon = "lpad(CAST(event_id % 997 AS VARCHAR), 3, '0')", "'-101.' || lpad(CAST(event_id * 7 % 1009 AS VARCHAR), 4, '0')"
+    full = (
+        f"{short} || ';' || CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '33.' END || {lat} || ';' || {lon} "
+        "|| ';' || CAST(event_id % 141 - 70 AS VARCHAR)"
+    )
+    sql["scan_ctg"] = f"""
+SELECT CAST(event_id AS BIGINT) AS event_id, epoch_us(ts) AS us,
+       CASE WHEN event_id % 101 <> 0 AND event_id % 97 <> 0 THEN CAST('33.' || {lat} AS DOUBLE) END AS lat,
+       CASE WHEN event_id % 101 <> 0 THEN CAST({lon} AS DOUBLE) END AS lon,
+       CASE WHEN event_id % 101 <> 0 THEN CAST(event_id % 141 - 70 AS FLOAT) END AS current,
+       CASE WHEN event_id % 101 = 0 THEN {short} WHEN event_id % 97 = 0 THEN {full} END AS rejected
+FROM events"""
+    sql["clear_ctg"] = "SELECT count(*) AS points, count(*) AS strikes, false AS points_after, false AS strikes_after FROM events"
+    sql["versioned_load"] = sql["parse_lylout"]
+    sql["stored_report"] = sql["load_report"]
+    bounds = ", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max" for c in ("lon", "lat", "alt"))
+    stored = f"SELECT count(*) AS source_count, min(epoch_ns) AS t_min_ns, max(epoch_ns) AS t_max_ns, max(epoch_ns) - min(epoch_ns) AS span_ns, {bounds} FROM parsed"
+    sql["stored_extent"] = _with(PARSED, stored)
+    sql["stored_extent_days"] = _with(PARSED, stored + " WHERE file_day BETWEEN '{}' AND '{}'".format(*Q.STORED_DAYS))
+
     # line parsing
     sql["tokenize"] = _with(
         LINES,
@@ -318,6 +339,10 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'wide', count(*) FROM pts WHERE {wide}",
     )
     sql["refilter_kept"] = sql["refilter"]
+    sql["refilter_cube"] = _with(
+        POINTS,
+        " UNION ALL ".join(f"SELECT '{name}' AS thresholds, count(*) AS n FROM pts WHERE {_inside(s)}" for name, s in Q.CUBE_SETS.items()),
+    )
     sql["project_points"] = _with(SELECTION, "SELECT epoch_ns, lon, lat, alt FROM sel")
     sql["range_filter_lineitem"] = (
         "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE "

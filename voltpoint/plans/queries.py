@@ -137,6 +137,54 @@ def clear_table(spark, sf):
     return rows.withColumn("exists_after", F.lit(spark.catalog.tableExists(view)))
 
 
+def scan_ctg(spark, sf):
+    """Strikes of delimited text, with the records that cannot be read whole."""
+    path = adapter.strike_files(spark, sf)
+    return S.read_delimited(spark, path, adapter.STRIKE_SCHEMA, delimiter=";", comment="#")
+
+
+def clear_ctg(spark, sf):
+    """Both tables before they are cleared, and whether they are there after."""
+    view, strikes = "voltpoint_clear_points", "voltpoint_clear_strikes"
+    points = O.extent(S.replace_load(_points(spark, sf), view), [], count="points")
+    rows = O.extent(S.replace_load(scan_ctg(spark, sf).select("event_id", "us"), strikes), [], count="strikes")
+    S.clear(spark, view=view, strikes=strikes)
+    after = [F.lit(spark.catalog.tableExists(name)).alias(f"{kind}_after") for kind, name in (("points", view), ("strikes", strikes))]
+    return points.select("points", rows.scalar().alias("strikes"), *after)
+
+
+def versioned_load(spark, sf):
+    """Two loads one after the other, the files of the first given again."""
+    plain, zipped = adapter.event_files(spark, sf)
+    store = S.PointStore(spark, S.scratch_folder(spark))
+    store.replace(plain)
+    for paths in ([plain, zipped], zipped, plain):
+        store.append(paths)
+    return store.points().select(_day(), *POINT_COLUMNS)
+
+
+def stored_report(spark, sf):
+    """`load_report` from the ledger that a load keeps."""
+    return adapter.event_store(spark, sf).report().groupBy("matched", _day()).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("null_epoch_ns").alias("null_times"),
+        F.sum("null_alt").alias("null_alts"),
+        F.sum("null_number_stations").alias("null_stations"),
+    )
+
+
+def stored_extent(spark, sf):
+    """The extent of all points from the extents of their days."""
+    return adapter.event_store(spark, sf).extent()
+
+
+STORED_DAYS = ("2024-01-05", "2024-01-11")
+
+
+def stored_extent_days(spark, sf):
+    return adapter.event_store(spark, sf).extent(STORED_DAYS)
+
+
 def replace_load(spark, sf):
     view = "voltpoint_replace_load"
     points = _points(spark, sf)
@@ -255,6 +303,30 @@ def refilter_kept(spark, sf):
     return spark.read.parquet(path)
 
 
+CUBE_EDGES = {
+    "number_stations": [4.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0],
+    "alt": [0.0, 2.0, 5.0, 10.0, 12.0, 15.0, 20.0],
+    "chi": [0.0, 1.0, 2.0, 5.0],
+    "pdb": [-60.0, -20.0, 0.0, 20.0, 60.0],
+}
+#: Twenty sets: half at the edges of the cube, half between them.
+CUBE_SETS = {f"edges_{k}": Thresholds(min_stations=4 + k % 6, min_alt=2 * (k % 2), max_alt=20 - 5 * (k % 3), max_chi=5 - k % 4, min_power=-60 + 40 * (k % 2)) for k in range(10)}
+CUBE_SETS |= {f"between_{k}": Thresholds(min_stations=5 + k % 7, min_alt=0.3 * k, max_alt=19.1 - k, max_chi=5 - 0.37 * k, min_power=-60 + 3.5 * k, max_power=60 - 4.5 * k) for k in range(10)}
+
+
+def refilter_cube(spark, sf):
+    """Twenty threshold sets from one cube and one look at the points they cut."""
+    points = _points(spark, sf)
+    cube = S.written(O.threshold_cube(points, CUBE_EDGES))
+    return O.cube_counts(points, cube, CUBE_EDGES, CUBE_SETS)
+
+
+def refilter_clustered(spark, sf):
+    """The strict selection of a table in the order of a space-filling curve."""
+    staged = S.cluster(_points(spark, sf), S.scratch_folder(spark))
+    return O.filter_points(staged, STRICT)
+
+
 def refilter_strict(spark, sf):
     return O.filter_points(_points(spark, sf), STRICT)
 
@@ -434,6 +506,12 @@ _QUERIES: dict[str, Query] = {
     "parse_lylout": parse_lylout,
     "parse_lylout_streamed": parse_lylout_streamed,
     "clear_table": clear_table,
+    "scan_ctg": scan_ctg,
+    "clear_ctg": clear_ctg,
+    "versioned_load": versioned_load,
+    "stored_report": stored_report,
+    "stored_extent": stored_extent,
+    "stored_extent_days": stored_extent_days,
     "tokenize": tokenize,
     "array_get": array_get,
     "try_cast_double": try_cast_double,
@@ -453,6 +531,8 @@ _QUERIES: dict[str, Query] = {
     "refilter": refilter,
     "refilter_kept": refilter_kept,
     "refilter_strict": refilter_strict,
+    "refilter_cube": refilter_cube,
+    "refilter_clustered": refilter_clustered,
     "project_points": project_points,
     "range_filter_lineitem": range_filter_lineitem,
     "extent": extent,

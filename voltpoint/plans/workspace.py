@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voltpoint import operators, sources
 from voltpoint.schema import PANELS, Thresholds
-from voltpoint.sources.tables import POINT_VIEW
+from voltpoint.sources.tables import POINT_VIEW, STRIKE_VIEW
 
 
 class Workspace:
@@ -19,12 +19,20 @@ class Workspace:
     """
 
     def __init__(
-        self, spark: SparkSession, thresholds: Thresholds | None = None, *, view: str = POINT_VIEW
+        self,
+        spark: SparkSession,
+        thresholds: Thresholds | None = None,
+        *,
+        view: str = POINT_VIEW,
+        strikes: str | None = None,
     ) -> None:
-        """``view`` names the table; give each of several workspaces its own."""
+        """``view`` names the table, ``strikes`` that of strikes (by default
+        `STRIKE_VIEW`, or ``<view>_strikes`` beside another view); give each of
+        several workspaces its own."""
         self.spark = spark
         self.thresholds = thresholds or Thresholds()
         self.view = view
+        self.strikes = strikes or (STRIKE_VIEW if view == POINT_VIEW else f"{view}_strikes")
         self._points: DataFrame | None = None
         self._kept: DataFrame | None = None
         self._paths: sources.lylout.Paths | None = None
@@ -43,7 +51,7 @@ class Workspace:
 
     def use(self, points: DataFrame, *, stage_to: str | None = None) -> DataFrame:
         """Replace the table by ``points``."""
-        self.clear()
+        self._drop_points()
         if stage_to is not None:
             points = sources.stage(points, stage_to)
         else:
@@ -51,11 +59,23 @@ class Workspace:
         self._points = sources.replace_load(points, self.view)
         return self._points
 
-    def clear(self) -> None:
-        """Drop the table and release its cache."""
-        sources.clear(self.spark, *([self._kept] if self._kept is not None else []), view=self.view)
+    def _drop_points(self) -> None:
+        self.spark.catalog.dropTempView(self.view)
+        if self._kept is not None:
+            self._kept.unpersist()
         self._points = self._kept = self._paths = self._extents = None
 
+    def load_strikes(self, paths: sources.lylout.Paths, schema: str, **options) -> DataFrame:
+        """Replace the table of strikes by the records of delimited text; see
+        `read_delimited`. The points stay as they are."""
+        paths = paths if isinstance(paths, str) else list(paths)
+        return sources.replace_load(sources.read_delimited(self.spark, paths, schema, **options), self.strikes)
+
+    def clear(self) -> None:
+        """Drop both tables and release the cache."""
+        self._drop_points()
+        sources.clear(self.spark, view=self.view, strikes=self.strikes)
+
     def set_thresholds(self, **changes: float) -> DataFrame:
         """Change some thresholds and return the new selection."""
         self.thresholds = replace(self.thresholds, **changes)
