@@ -33,6 +33,11 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert oracle.differences(ours, theirs) == []
 
 
+def test_the_registered_shards_split(spark):
+    shards = Q.op4_sharding(spark, "/root/testdata/sf0.01").select("depth", "shard").distinct().collect()
+    assert len(shards) >= 4 and min(r.depth for r in shards) > 0
+
+
 def test_small_shards_equal_sql(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for limit in (300, 20_000, 200_000):

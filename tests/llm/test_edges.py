@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from voltpoint.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, sharding, substrings, tokens
+from voltpoint.llm import decontaminate, language, licenses, manifest, mixing, neardup, quality, secrets, sharding, substrings, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,7 @@ DIGESTS = {
     "substrings": lambda s, d: substrings.digest(d),
     "benchmark": lambda s, d: decontaminate.digest(d, benchmark(s)),
     "neardup": lambda s, d: neardup.digest(d),
+    "manifest": lambda s, d: manifest.digest(d),
 }
 
 
@@ -44,6 +45,21 @@ def test_empty_tables(spark, name):
     assert DIGESTS[name](spark, corpus.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", list(DIGESTS))
+def test_a_very_long_text(spark, tmp_path, name):
+    """Three million characters in one text, most of them unlike each other."""
+    words = [f"w{(i * 7919) % 99991:x}" for i in range(500_000)]
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join(words[:60]), "en", "a"), (3, "short", "de", "b")]
+    docs = corpus.stored(corpus.awkward(spark, rows), tmp_path / "d")
+    assert sorted(r.doc_id for r in DIGESTS[name](spark, docs).collect()) == [1, 2, 3]
+
+
+def test_equal_rows_without_an_id_are_dealt_out(spark):
+    rows = [(None, f"text {i} of many", "en", "a") for i in range(500)]
+    sized = mixing._sized(corpus.awkward(spark, rows), "source", ["doc_id"])
+    assert sized.select("h").distinct().count() == 500
+
+
 def test_mixture(spark, sf_dir, tmp_path):
     docs = corpus.stored(corpus.awkward(spark), tmp_path / "d")
     plan = mixing.mix_plan(docs).collect()

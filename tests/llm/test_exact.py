@@ -318,9 +318,9 @@ def test_benchmark_edges(spark):
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     for max_bytes in (1 << 20, 40):
         found = {(r["doc"].doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.find_benchmark(docs, benchmark, max_bytes=max_bytes).collect()}
-        assert found == {(1, 13, 11, "b"), (2, 3, 0, ""), (3, 4, 3, "a"), (4, 0, 0, ""), (5, 0, 0, ""), (None, 6, 6, "a")}
+        assert found == {(1, 13, 11, "b"), (2, 3, 0, ""), (3, 4, 4, "a"), (4, 0, 0, ""), (5, 0, 0, ""), (None, 6, 6, "a")}
         clean = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.remove_benchmark(docs, benchmark, max_bytes=max_bytes).collect()}
-        assert clean == {1: ("X  Y", 4), 2: ("one two three", 5), 3: ("say ", 4), 4: (None, None), 5: ("", 0), None: ("", 0)}
+        assert clean == {1: ("X  Y", 4), 2: ("one two three", 5), 3: ("", 0), 4: (None, None), 5: ("", 0), None: ("", 0)}
     nothing = decontaminate.digest(docs, benchmark.where("false"))
     assert nothing.where("contaminated").count() == 0 and nothing.count() == 6
 
@@ -376,7 +376,7 @@ def test_license_scores_equal_brute_force(spark, sf_dir):
     got = {r.doc_id: r for r in licenses.digest(docs).collect()}
     hits = 0
     for r in rows:
-        units = [u for u in r.text.split("\n") if licenses.terms(u) and licenses.CUES & set(licenses.terms(u))]
+        units = [u for u in r.text.split("\n") if licenses.terms(u)]
         best = max(((round(cosine(vector(u), v), 6), name) for u in units for name, v in notices), default=(0, None))
         if best[0] >= licenses.LEAST:
             hits += 1

@@ -189,7 +189,7 @@ def _find(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
                     runs.append([a, b])
             merged.append([{"start": a, "stop": b} for a, b in runs])
             hit.append(sum(b - a for a, b in runs))
-            names.append(sorted(items.get(doc, set()) | set(seen[doc])))
+            names.append(sorted((items.get(doc, set()) | set(seen[doc])) - {None}))
         made = {"n_words": lengths, "n_hit": hit, "items": names, "spans": merged}
         yield pa.RecordBatch.from_arrays(
             [pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in schema],
@@ -200,11 +200,11 @@ def _find(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
 def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items in blocks of at most about ``max_bytes`` (a longer item is a block
     of its own), so that what is broadcast has a bound at any benchmark size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(n_bytes(F.col("text")) + 16)).first()[0] or 0
     count = -(-total // max_bytes) or 1
     for block in range(count):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == block) if count > 1 else items
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block) if count > 1 else items
         yield [(r.item_id, r.text.encode()) for r in mine.toLocalIterator()]
 
 
@@ -214,8 +214,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A
     window is ``window`` consecutive words of an item, or all of a shorter one.
-    Null and empty texts have no words; items without text, id or words have no
-    window; an empty benchmark hits nothing. Repeated rows are judged alike."""
+    Null and empty texts have no words; items without text or words have no
+    window, those without an id hit like others and are not named; an empty
+    benchmark hits nothing. Repeated rows are judged alike."""
     spark = docs.sparkSession
     found = docs.select(
         F.struct(F.lit(True).alias("_"), *[F.col(c) for c in docs.columns if c != "text"]).alias("doc"),

@@ -69,12 +69,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ),
 }
-#: Words of most notices. The scan does not need any of them to be there; only
-#: the older test of scores still names them.
-CUES = frozenset(
-    "license licenses licensed licence licences licenced gpl agpl lgpl copying permission permitted redistribute redistribution "
-    "cc0 public spdx".split()
-)
 #: Least cosine of a notice to its template.
 LEAST = 0.7
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"

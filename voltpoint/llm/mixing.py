@@ -26,9 +26,11 @@ LEAF, COARSE = 64, 1024
 MAX_SOURCES = 100_000
 
 
-def order_key(doc_id: Column) -> Column:
-    """60 pseudo-random bits of the id; the same on every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def order_key(doc_id: Column, text: Column) -> Column:
+    """60 pseudo-random bits of the id and the text, so that texts without an id
+    of their own are dealt out, too; the same on every run."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def _pick(values: tuple, index: Column) -> Column:
@@ -68,7 +70,7 @@ def _sized(docs: DataFrame, source: str, carry: list[str]) -> DataFrame:
     return docs.select(
         F.struct(*carry).alias("doc"),
         F.col(source).alias("src"),
-        order_key(F.col("doc_id")).alias("h"),
+        order_key(F.col("doc_id"), F.col("text")).alias("h"),
         F.xxhash64("text").alias("tie"),
         n_words(F.col("text")).alias("size"),
     )

@@ -12,7 +12,7 @@ i AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size, list_slice(w, p, p + least(10, len(w)) - 1) AS words
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
@@ -23,7 +23,7 @@ places AS (
 found AS (SELECT r, p, p + places.size - 1 AS q, item_id FROM places JOIN windows USING (size, words)),
 hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, q + 1)) AS k FROM found) GROUP BY r),
 names AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
-          FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+          FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
@@ -32,7 +32,7 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
 OP3 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -65,9 +65,9 @@ n AS (
   FROM (SELECT r, h, n_bytes, CAST(unnest(range(0, 45)) AS INTEGER) AS depth FROM d)
   WINDOW b AS (PARTITION BY depth, h >> (44 - depth))),
 s AS (SELECT r, min(depth) AS depth, arg_min(prefix, depth) AS prefix, arg_min(bytes, depth) AS bytes
-      FROM n WHERE bytes <= 67108864 OR n = 1 OR depth = 44 GROUP BY r)
+      FROM n WHERE bytes <= 1048576 OR n = 1 OR depth = 44 GROUP BY r)
 SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
-       CAST(bytes AS BIGINT) AS shard_bytes, bytes > 67108864 AS oversized
+       CAST(bytes AS BIGINT) AS shard_bytes, bytes > 1048576 AS oversized
 FROM d JOIN s USING (r)
 """
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltpoint.llm.common import n_bytes, staged
+from voltpoint.llm.common import n_bytes, numbered, staged
 
 #: Bits of the hash: of the document, then of its place in the input, which only
 #: equal rows ever come to.
@@ -30,9 +30,9 @@ def content_bits(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(both.cast("binary")), 1, CONTENT_BITS // 4), 16, 10).cast("bigint")
 
 
-def _hash() -> Column:
-    content = content_bits(F.col("doc_id"), F.col("text"))
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << PLACE_BITS))
+def _hash(text: Column, place: Column) -> Column:
+    content = content_bits(F.col("doc_id"), text)
+    place = F.pmod(F.xxhash64(place), F.lit(1 << PLACE_BITS))
     return F.shiftleft(content, PLACE_BITS) + place
 
 
@@ -82,13 +82,16 @@ def shard_documents(docs: DataFrame, shard_bytes: int, carry: list[str] | None =
     The size is the text's UTF-8 bytes; null and empty texts have none and are
     placed like others. Only a single document above the limit makes a larger
     shard. Ids that are null or repeat are told apart by the text, equal rows by
-    their place in the input, which a table read from files keeps. An empty
-    table has no shard."""
-    hashed = docs.select(
-        F.struct(*(docs.columns if carry is None else carry)).alias("doc"), _hash().alias("h"), n_bytes(F.col("text")).alias("size")
-    )
-    slim = staged(hashed.select("h", "size") if carry is None or "text" in carry else hashed, "hashes")
-    found = hashed if carry is None or "text" in carry else slim
+    their place in one written copy of the input. An empty table has no shard."""
+    columns, whole = docs.columns if carry is None else carry, carry is None or "text" in carry
+    # Whole rows are read several times: their places come from one written table.
+    text, place = F.col("text"), F.monotonically_increasing_id()
+    rows = docs.select(F.struct(*columns).alias("doc"), "doc_id", *([] if whole else ["text"]))
+    if whole:
+        rows, text, place = numbered(rows), F.col("doc.text"), F.col("rid")
+    hashed = rows.select("doc", _hash(text, place).alias("h"), n_bytes(text).alias("size"))
+    slim = staged(hashed.select("h", "size") if whole else hashed, "hashes")
+    found = hashed if whole else slim
     place = F.lit(None).cast("struct<depth:int,prefix:bigint,bytes:bigint,rows:bigint>")
     found = found.withColumn("place", place)
     for depth, entries in directory(slim.select("h", "size"), shard_bytes):
