@@ -10,27 +10,40 @@ from voltpoint.llm.queries import SHARD_BYTES
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the base rules and the perplexity band."""
+    """The documents that pass the base rules and the perplexity band.
+
+    Null and empty texts fail; repeated rows stay or go together; an empty table
+    stays one."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked from 80 % on."""
+    """One document of each group of near-duplicates, linked from 80 % on: the
+    smallest id, of rows with that id one. Texts without words link with nothing
+    and stay."""
     return neardup.one_of_each(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages that the benchmark has, too."""
+    """The documents without the passages that the benchmark has, too.
+
+    No document goes; a text that was nothing but a passage becomes empty, null
+    stays null, and ``n_chars`` follows the text."""
     return decontaminate.remove_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them, some twice, in training order."""
+    """The documents as the mix takes them, some twice, in training order.
+
+    Documents without words are taken by no mix; a null source is a source."""
     return mixing.training_order(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard."""
+    """The documents with their shard.
+
+    Null and empty texts are placed, too. Columns of the input that are named
+    ``shard`` or ``shard_bytes`` give way to this stage's."""
     placed = sharding.shard_documents(docs, SHARD_BYTES)
     named = [f"doc.`{c}`" for c in docs.columns if c not in ("shard", "shard_bytes")]
     return placed.select(*named, "shard", "shard_bytes")
