@@ -33,6 +33,8 @@ NO_LANG = "und"
 #: Occurrences that a hash partition holds about, and how many times as many
 #: counters as needed it has: the more, the fewer rare phrases survive.
 PARTITION_MASS, SPARE = 1 << 21, 4
+#: Hash partitions that a task merges, one after the other.
+TASK_PARTITIONS = 4
 #: Tokens that a task counts at a time, different words that it remembers, hashes
 #: of one row, bytes of a text that are cut into words at a time.
 TOKENS, WORDS, ROW_HASHES, SLICE_BYTES = 1 << 20, 1 << 18, 1 << 15, 1 << 20
@@ -258,7 +260,8 @@ def frequent_filter(texts: DataFrame, mass: int, least: int) -> bytes:
     partitions = max(1, -(-mass // PARTITION_MASS))
     found = texts.mapInArrow(lambda b: _summaries(b, partitions), SUMMARY)
     # The occurrences of a partition come ahead of its counters.
-    dealt = found.repartition("p").sortWithinPartitions("p", F.col("mass").asc_nulls_last())
+    tasks = -(-partitions // TASK_PARTITIONS)
+    dealt = found.repartition(tasks, "p").sortWithinPartitions("p", F.col("mass").asc_nulls_last())
     left = dealt.mapInArrow(lambda b: _survivors(b, least), "p bigint, first_byte bigint, bits binary")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in staged(left, "survivors").collect():
