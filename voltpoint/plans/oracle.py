@@ -332,6 +332,7 @@ FROM events"""
     )
     wide = "number_stations >= 0 AND alt BETWEEN 0 AND 10000 AND chi BETWEEN 0 AND 10000"
     wide += " AND pdb BETWEEN -10000 AND 10000"
+    sql["refilter_clustered"] = sql["refilter_strict"]
     sql["refilter"] = _with(
         POINTS,
         f"SELECT 'default' AS thresholds, count(*) AS n FROM pts WHERE {_inside(t)} "
