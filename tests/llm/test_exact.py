@@ -8,6 +8,7 @@ import re
 
 import corpus
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,6 +42,37 @@ def test_tokens_equal_the_library(spark, sf_dir):
     assert bag(tokens.count_tokens(docs, BPE).collect()) == want
 
 
+def test_pieces_are_counted_once_for_a_run_of_equal_pre_tokens(monkeypatch):
+    with open(BPE, encoding="utf-8") as file:
+        text = file.read()
+    library, asked = tokens._tokenizer(text)[0], []
+
+    class Counting:
+        def encode_batch(self, words, **options):
+            asked.extend(words)
+            return library.encode_batch(words, **options)
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda text: (Counting(), [], frozenset()))
+    words = sorted(["zyzzyva"] * 7 + ["qxq"] * 3 + [" unhurriedly"] * 5 + ["ééé"])
+    rows = pa.record_batch({"block": pa.array(range(16), pa.int64()), "pos": pa.array([0] * 16, pa.int32()), "token": words})
+    schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("pieces", pa.int32())])
+    cuts = [rows.slice(0, 2), rows.slice(2, 0), rows.slice(2, 1), rows.slice(3, 6), rows.slice(9)]
+    got = pa.Table.from_batches(tokens._pieces(iter(cuts), text, schema))
+    assert got["block"].to_pylist() == list(range(16))
+    assert got["pieces"].to_pylist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert sorted(asked) == sorted(set(words))
+
+
+def test_blocks_of_tokens_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 100)
+    texts = ["x" * n for n in (30, 0, 60, 30, 400, 5)] + [None, "é" * 45, "tail"]
+    batch = pa.record_batch({"text": texts})
+    parts = list(tokens._blocks(iter([batch, batch.slice(0, 0), batch.slice(3)])))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts + texts[3:]
+    sizes = [[len((t or "").encode()) for t in p.column("text").to_pylist()] for p in parts]
+    assert len(parts) > 3 and all(sum(s) - max(s) <= 100 for s in sizes)
+
+
 # --- repeated strings ----------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 """Token counts by way of distinct pre-tokens.
 
 Texts are cut into pre-tokens, and each document keeps only how often it holds
-which one. A block (one Arrow batch) names its own pre-tokens once; the names of
-all blocks meet in one grouping, where the pieces of every distinct pre-token
-are counted once, and return to their blocks, where they are joined to the
-documents' frequencies and summed. No list of token ids is ever made.
+which one. A block (an Arrow batch, or a part of it) names its own pre-tokens
+once; the names of all blocks are dealt by hash and sorted, so that equal ones
+stream by in a run whose pieces are counted once, and return to their blocks,
+where they are joined to the documents' frequencies and summed. No list is made
+of the blocks that use a pre-token, nor of token ids.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -37,6 +38,8 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ſ]*\Z")
 #: A pre-token always begins at a blank before a character that is no space.
 _CUT = re.compile(r" (?=\S)")
 _UNEVEN = re.compile(r" (?:\s|\Z)")
+#: Bytes of text in a block; only a longer text goes beyond.
+BLOCK_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -75,15 +78,23 @@ def _segments(text: str, special) -> tuple[list[str], list[str], int]:
     return opening, after, len(parts) - 1
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of bounded bytes."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // BLOCK_BYTES
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     _, names, one_piece = _tokenizer(text)
     special = re.compile("|".join(map(re.escape, names))) if names else None
     official = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     pack = zstandard.ZstdCompressor(level=1)
     task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        if not batch.num_rows:
-            continue
+    for number, batch in enumerate(_blocks(batches)):
         ids: dict = {}
         which, times, extra = [], [], []
         for value in batch.column("text").to_pylist():
@@ -128,6 +139,23 @@ def _frequencies(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema
         )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pieces of pre-tokens that come sorted: of each run once, also where it goes
+    on in the next batch."""
+    whole, last, of_last = _tokenizer(text)[0], None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs = pc.run_end_encode(batch.column("token"))
+        tokens, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+        goes_on = tokens[0] == last
+        pieces = [len(e.ids) for e in whole.encode_batch(tokens[goes_on:], add_special_tokens=False)]
+        pieces = [of_last, *pieces] if goes_on else pieces
+        last, of_last = tokens[-1], pieces[-1]
+        counted = pa.array(np.repeat(pieces, np.diff(ends, prepend=0)), pa.int32())
+        yield pa.RecordBatch.from_arrays([counted if f.name == "pieces" else batch.column(f.name) for f in schema], schema=schema)
+
+
 def _sum_block(docs: pa.Table, pieces: pa.Table, schema: pa.Schema) -> pa.Table:
     by_place = np.zeros(1 + max(pieces["pos"].to_pylist(), default=0), np.int64)
     by_place[pieces["pos"].to_numpy()] = pieces["pieces"].to_numpy()
@@ -158,15 +186,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         source.mapInArrow(lambda b: _frequencies(b, sent.value, to_arrow_schema(freq_schema)), freq_schema), "tokens"
     )
 
-    @F.pandas_udf("int")
-    def pieces_of(tokens: pd.Series) -> pd.Series:
-        whole = _tokenizer(sent.value)[0]
-        return pd.Series([len(e.ids) for e in whole.encode_batch(tokens.tolist(), add_special_tokens=False)], dtype="int32")
-
     asked = frequencies.where("vocab is not null").select("block", F.posexplode("vocab").alias("pos", "token"))
-    distinct = asked.groupBy("token").agg(F.collect_list(F.struct("block", "pos")).alias("uses"))
-    counted = distinct.select("uses", pieces_of("token").alias("pieces"))
-    pieces = counted.select(F.explode("uses").alias("use"), "pieces").select("use.block", "use.pos", "pieces")
+    in_runs = asked.repartition("token").sortWithinPartitions("token")
+    piece_schema = T.StructType.fromDDL("block bigint, pos int, pieces int")
+    pieces = in_runs.mapInArrow(lambda b: _pieces(b, sent.value, to_arrow_schema(piece_schema)), piece_schema)
     result = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("n_bytes bigint, n_tokens bigint")])
     return (
         frequencies.drop("vocab")
