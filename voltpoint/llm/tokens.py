@@ -153,7 +153,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) ->
         pieces = [of_last, *pieces] if goes_on else pieces
         last, of_last = tokens[-1], pieces[-1]
         counted = pa.array(np.repeat(pieces, np.diff(ends, prepend=0)), pa.int32())
-        yield pa.RecordBatch.from_arrays([counted if f.name == "pieces" else batch.column(f.name) for f in schema], schema=schema)
+        made = pa.RecordBatch.from_arrays([counted if f.name == "pieces" else batch.column(f.name) for f in schema], schema=schema)
+        yield made.sort_by([("block", "ascending"), ("pos", "ascending")])  # rows that follow each other alike shuffle smaller
 
 
 def _sum_block(docs: pa.Table, pieces: pa.Table, schema: pa.Schema) -> pa.Table:
