@@ -44,9 +44,14 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    path, fs = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Remove what was written below the session's scratch folders."""
     for folder in [folder for session, folder in _made if session is spark]:
-        path, fs = _file_system(spark, folder)
-        fs.delete(path, True)
+        remove_folder(spark, folder)
     _made[:] = [made for made in _made if made[0] is not spark]
