@@ -5,7 +5,7 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
-from voltpoint.llm import neardup, sharding, substrings
+from voltpoint.llm import common, neardup, sharding, substrings
 
 
 def several_files(spark, path):
@@ -45,3 +45,13 @@ def test_shards_outlive_other_partitions(spark, tmp_path, conf, wide_first):
     for r in found:
         size[r.shard] += r.n_bytes
     assert max(size.values()) <= 60 and all(size[r.shard] == r.shard_bytes for r in found)
+
+
+def test_tables_on_the_way_to_a_result_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(common._folders, spark.sparkContext.applicationId, str(tmp_path / "work"))
+    stays = neardup.one_of_each(several_files(spark, str(tmp_path / "d")))
+    assert {p.name.split("-")[0] for p in (tmp_path / "work").iterdir()} == {"rows", "gone"}
+    assert stays.count() == 61
+    with pytest.raises(ZeroDivisionError):
+        common.settled(lambda: 1 / 0, "nothing")
+    assert not common._on_the_way

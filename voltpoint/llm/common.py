@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltpoint.sources.scratch import scratch_folder
+from voltpoint.sources.scratch import remove_folder, scratch_folder
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _folders: dict[str, str] = {}
+#: Tables written while a `settled` result is being made, innermost last.
+_on_the_way: list[list[str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,10 +32,27 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` below the scratch folder and read it back: cuts the
     lineage and outlives lost executors."""
     path = f"{scratch(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for tables in _on_the_way:
+        tables.append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()``, written by `staged`; the tables that were staged on the way to
+    it are removed then, as only the result is read from there on."""
+    tables: list[str] = []
+    _on_the_way.append(tables)
+    try:
+        frame = make()
+    finally:
+        _on_the_way.pop()
+    result = staged(frame, name)
+    for path in tables:
+        remove_folder(frame.sparkSession, path)
+    return result
+
+
 def numbered(rows: DataFrame, name: str = "rows") -> DataFrame:
     """``rows`` with a number ``rid`` of each, written once: a second scan of the
     input may be cut into other partitions and number its rows otherwise."""

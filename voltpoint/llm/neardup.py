@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voltpoint.llm.common import binary_texts, mix, numbered, staged
+from voltpoint.llm.common import binary_texts, mix, numbered, settled, staged
 from voltpoint.llm.graph import connected_components
 
 #: Words of a shingle, and least similarity of a link in percent.
@@ -234,6 +234,10 @@ def digest(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without near-duplicates of one that stays."""
     rows = numbered(docs.select(F.struct("*").alias("doc")))
-    judged = _judged(rows.select("rid", "doc.doc_id", "doc.text"), percent)
-    gone = staged(judged.where(~F.col("keep")).select(F.col("rid").alias("gone")), "gone")
+
+    def others() -> DataFrame:
+        judged = _judged(rows.select("rid", "doc.doc_id", "doc.text"), percent)
+        return judged.where(~F.col("keep")).select(F.col("rid").alias("gone"))
+
+    gone = settled(others, "gone")
     return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("doc.*")
