@@ -4,6 +4,7 @@ import collections
 import re
 
 import __spark_entry__
+from pyspark.sql import functions as F
 from voltpoint.llm import licenses
 
 
@@ -44,3 +45,22 @@ def test_a_notice_needs_no_cue_word(spark, sf_dir):
         if best >= licenses.LEAST:
             assert found[r.doc_id].score == best
     assert [found[-1 - k].license for k in range(3)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_notices_of_one_family_are_told_apart(spark):
+    rows = [(name, notice) for name, notices in licenses.TEMPLATES.items() for notice in notices]
+    rows += [
+        ("LGPL-2.1", f"prose\n\n{LGPL}\n\nprose"),
+        ("LGPL-3.0", LGPL.replace("software;", "software:").replace("Foundation;", "Foundation,").replace("2.1", "3")),
+        ("GPL-2.0", LGPL.replace("library", "program").replace("Lesser ", "").replace("2.1", "2")),
+        ("AGPL-3.0", LGPL.replace("library", "program").replace("Lesser", "Affero").replace("2.1", "3")),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    found = licenses.scan_licenses(docs, F.lit(None).cast("string")).where("via = 'notice'").collect()
+    assert {r.doc_id: r.license for r in found} == {i: name for i, (name, _) in enumerate(rows)}
