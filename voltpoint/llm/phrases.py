@@ -261,7 +261,8 @@ def frequent_filter(texts: DataFrame, mass: int, least: int) -> bytes:
     found = texts.mapInArrow(lambda b: _summaries(b, partitions), SUMMARY)
     # The occurrences of a partition come ahead of its counters.
     tasks = -(-partitions // TASK_PARTITIONS)
-    dealt = found.repartition(tasks, "p").sortWithinPartitions("p", F.col("mass").asc_nulls_last())
+    task = F.expr(f"p div {TASK_PARTITIONS}").cast("int")
+    dealt = found.repartitionById(tasks, task).sortWithinPartitions("p", F.col("mass").asc_nulls_last())
     left = dealt.mapInArrow(lambda b: _survivors(b, least), "p bigint, first_byte bigint, bits binary")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in staged(left, "survivors").collect():
